@@ -84,36 +84,18 @@ def share_lineitem(spark, d):
 # --- duplicates --------------------------------------------------------------
 
 
-def _with_hex_key(groups):
-    """The digest of a single text content, in place of the key struct."""
-    key = F.lower(F.hex(F.col("content_key.c0"))).alias("content")
-    return groups.select(key, *[c for c in groups.columns if c != "content_key"])
-
-
 def exact_duplicates_documents(spark, d):
-    return _with_hex_key(sm.exact_duplicates(table(spark, d, "documents"), "text", "doc_id"))
+    return sm.exact_duplicates(table(spark, d, "documents"), "text", "doc_id")
 
 
 def exact_duplicates_part(spark, d):
-    groups = sm.exact_duplicates(table(spark, d, "part"), ["p_type", "p_size"], "p_partkey")
-    return groups.select(
-        F.lower(F.hex("content_key.c0")).alias("p_type"),
-        F.col("content_key.c1").alias("p_size"),
-        "copies",
-        "first_id",
-    )
+    return sm.exact_duplicates(table(spark, d, "part"), ["p_type", "p_size"], "p_partkey")
 
 
 def exact_duplicates_lineitem(spark, d):
-    groups = sm.exact_duplicates(
+    return sm.exact_duplicates(
         table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey"
     )
-    return groups.select(
-        F.col("content_key.c0").alias("l_orderkey"),
-        F.col("content_key.c1").alias("l_linenumber"),
-        "copies",
-        "first_id",
-    )
 
 
 # --- overlap -----------------------------------------------------------------
@@ -148,8 +130,7 @@ def holdings_summary_documents(spark, d):
 
 
 def holdings_copies_documents(spark, d):
-    held = sm.Holdings(table(spark, d, "documents"), "source", "text")
-    return _with_hex_key(held.copies())
+    return sm.Holdings(table(spark, d, "documents"), "source", "text").copies()
 
 
 # --- coverage and flags ------------------------------------------------------
@@ -414,12 +395,12 @@ def oracle_sql() -> dict[str, str]:
         "share_customers": _share_sql("customer", "c_mktsegment", "c_nationkey"),
         "share_lineitem": _share_sql("lineitem", "l_partkey", "l_suppkey"),
         "exact_duplicates_documents": """
-            SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first_id
+            SELECT sha256(text) AS text_sha256, count(*) AS copies, min(doc_id) AS first_id
             FROM documents GROUP BY text HAVING count(*) > 1""",
         "exact_duplicates_part": """
-            SELECT sha256(p_type) AS p_type, p_size, count(*) AS copies,
+            SELECT sha256(p_type) AS p_type_sha256, p_size, count(*) AS copies,
                    min(p_partkey) AS first_id
-            FROM part GROUP BY part.p_type, p_size HAVING count(*) > 1""",
+            FROM part GROUP BY p_type, p_size HAVING count(*) > 1""",
         "exact_duplicates_lineitem": """
             SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_partkey) AS first_id
             FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
@@ -431,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "overlap_summary_suppliers": _overlap_summary_sql("lineitem", "l_suppkey", "l_partkey"),
         "holdings_summary_documents": _overlap_summary_sql("documents", "source", "text"),
         "holdings_copies_documents": """
-            SELECT sha256(text) AS content, count(*) AS copies,
+            SELECT sha256(text) AS text_sha256, count(*) AS copies,
                    count(DISTINCT source) AS n_parts
             FROM documents GROUP BY text HAVING count(*) > 1""",
         "coverage_gap_orders": """

@@ -10,25 +10,54 @@ from pyspark.sql import types as T
 
 from shelfmark.functions.names import as_list
 
-KEY = "content_key"
 
-
-def content_key(df: DataFrame, content: str | Iterable[str]) -> Column:
-    """Struct that two items share exactly when their content is the same.
+def content_keys(df: DataFrame, content: str | Iterable[str]) -> list[Column]:
+    """Columns ``_c0``, ``_c1``, ... in which two items agree exactly when their
+    content is the same.
 
     Strings and binaries enter as their SHA-256 (32 bytes), so that a shuffle
     or a hash table never carries whole texts; other types enter as they are.
-    Null when any content column is null: such an item has no known content.
     """
-    names = as_list(content)
-    if not names:
+    keys = []
+    for i, name in enumerate(as_list(content)):
+        text = isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+        key = F.unhex(F.sha2(F.col(name), 256)) if text else F.col(name)
+        keys.append(key.alias(f"_c{i}"))
+    if not keys:
         raise ValueError("no content column given")
-    parts = []
-    for i, name in enumerate(names):
+    return keys
+
+
+def key_names(columns: Iterable[str]) -> list[str]:
+    """The content keys among ``columns``."""
+    return [c for c in columns if c.startswith("_c")]
+
+
+def known(content: str | Iterable[str]) -> Column:
+    """Whether an item's content is known, that is, no part of it is null."""
+    result = F.lit(True)
+    for name in as_list(content):
+        result = result & F.col(name).isNotNull()
+    return result
+
+
+def printed_names(df: DataFrame, content: str | Iterable[str]) -> dict[str, str]:
+    """Content key -> its name in a report: ``text_sha256`` for a digest of ``text``."""
+    names = {}
+    for i, name in enumerate(as_list(content)):
         text = isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
-        value = F.unhex(F.sha2(F.col(name), 256)) if text else F.col(name)
-        parts.append(value.alias(f"c{i}"))
-    known = F.col(names[0]).isNotNull()
-    for name in names[1:]:
-        known = known & F.col(name).isNotNull()
-    return F.when(known, F.struct(*parts))
+        names[f"_c{i}"] = f"{name}_sha256" if text else name
+    return names
+
+
+def printed(keyed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A report with its content keys named and its digests in hexadecimal."""
+    columns = []
+    for c in keyed.columns:
+        if c not in names:
+            columns.append(F.col(c))
+        elif isinstance(keyed.schema[c].dataType, T.BinaryType):  # a digest
+            columns.append(F.lower(F.hex(c)).alias(names[c]))
+        else:
+            columns.append(F.col(c).alias(names[c]))
+    return keyed.select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.names import as_list, reject_clash
+from shelfmark.functions.names import as_list, null_safe, reject_clash
 
 
 def composition(
@@ -48,9 +48,7 @@ def share(df: DataFrame, by: str | Iterable[str], parent: str | Iterable[str]) -
     groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_items"))
     named = [F.col(c).alias(f"_parent_{c}") for c in parent]
     parents = groups.groupBy(*named).agg(F.sum("n_items").alias("parent_items"))
-    same = F.lit(True)
-    for c in parent:
-        same = same & groups[c].eqNullSafe(parents[f"_parent_{c}"])
+    same = null_safe(groups, parents, [(c, f"_parent_{c}") for c in parent])
     return groups.join(parents, same).select(
         *by,
         "n_items",

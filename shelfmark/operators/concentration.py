@@ -38,8 +38,9 @@ def concentration(df: DataFrame, by: str | Iterable[str]) -> DataFrame:
 
     Values with equally many items share a rank (1, 2, 2, 4, ...) and a
     cumulative count that includes them all. Both then depend on the count
-    alone: they are worked out on the short curve and joined back, and the
-    values themselves are never sorted.
+    alone: they are worked out on the curve and joined back, and the values
+    themselves are never sorted. The curve's length is bounded as said above,
+    so it is broadcast: its join keys are as skewed as they come.
     """
     by = as_list(by)
     reject_clash(by, ["n_items", "rank", "cum_items"])
@@ -49,6 +50,6 @@ def concentration(df: DataFrame, by: str | Iterable[str]) -> DataFrame:
         (F.col("cum_values") - F.col("n_values") + 1).alias("rank"),
         "cum_items",
     )
-    return counts.join(curve, counts["n_items"] == curve["_n"]).select(
+    return counts.join(F.broadcast(curve), counts["n_items"] == curve["_n"]).select(
         *by, "n_items", "rank", "cum_items"
     )

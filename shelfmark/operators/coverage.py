@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.names import as_list, reject_clash
+from shelfmark.functions.names import as_list, null_safe, reject_clash
 
 
 def _items_per_key(
@@ -26,8 +26,26 @@ def _items_per_key(
     return items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _keys(on: list[str]) -> list[str]:
-    return [f"_on{i}" for i in range(len(on))]
+def _rows_per_key(
+    df: DataFrame, on: list[str], columns: dict[str, Column] | None = None
+) -> DataFrame:
+    """The other table folded to one row per known key, aggregating ``columns``."""
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    grouped = df.where(known).groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(on)])
+    rows = F.count(F.lit(1)).alias("_m")
+    return grouped.agg(rows, *[v.alias(k) for k, v in (columns or {}).items()])
+
+
+def _same_key(items: DataFrame, rows: DataFrame, on: list[str], unique_key: bool) -> Column:
+    pairs = [(f"_on{i}", f"_key{i}") for i in range(len(on))]
+    if not unique_key:
+        return null_safe(items, rows, pairs)
+    same = F.lit(True)
+    for a, b in pairs:
+        same = same & (items[a] == rows[b])
+    return same
 
 
 def _groups(by: list[str]) -> list:
@@ -53,17 +71,11 @@ def coverage_gap(
     if len(other_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(other_on)}")
     reject_clash(by, ["n_items", "n_missing"])
-    keys = _keys(on)
     items = _items_per_key(df, on, by, unique_key)
-    there = (
-        other.select(*[F.col(c).alias(k) for c, k in zip(other_on, keys)])
-        .dropna()
-        .distinct()
-        .withColumn("_there", F.lit(True))
-    )
-    missing = F.when(F.col("_there").isNull(), F.col("_n")).otherwise(F.lit(0))
+    there = _rows_per_key(other, other_on)
+    missing = F.when(F.col("_m").isNull(), F.col("_n")).otherwise(F.lit(0))
     return (
-        items.join(there, keys, "left")
+        items.join(there, _same_key(items, there, on, unique_key), "left")
         .groupBy(*_groups(by))
         .agg(F.sum("_n").alias("n_items"), F.sum(missing).alias("n_missing"))
     )
@@ -90,18 +102,11 @@ def flag_rate(
     if len(flags_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(flags_on)}")
     reject_clash(by, ["n_flagged", *names])
-    keys = _keys(on)
-    items = _items_per_key(df, on, by, unique_key).dropna(subset=keys)
-    per_key = (
-        flags.dropna(subset=flags_on)
-        .groupBy(*[F.col(c).alias(k) for c, k in zip(flags_on, keys)])
-        .agg(
-            F.count(F.lit(1)).alias("_m"),
-            *[F.sum(c).alias(f"_flag{i}") for i, c in enumerate(names)],
-        )
-    )
+    items = _items_per_key(df, on, by, unique_key)
+    sums = {f"_flag{i}": F.sum(c) for i, c in enumerate(names)}
+    per_key = _rows_per_key(flags, flags_on, sums)
     return (
-        items.join(per_key, keys)
+        items.join(per_key, _same_key(items, per_key, on, unique_key))
         .groupBy(*_groups(by))
         .agg(
             F.sum(F.col("_n") * F.col("_m")).alias("n_flagged"),

@@ -7,20 +7,24 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import KEY, content_key
+from shelfmark.functions.content import content_keys, known, printed, printed_names
+from shelfmark.functions.names import reject_clash
 
 
 def exact_duplicates(df: DataFrame, content: str | Iterable[str], id: str) -> DataFrame:
     """One row per repeated content: its copies and the lowest id among them.
 
-    Items of unknown (null) content are copies of nothing. Copies are counted
-    before the shuffle, so one content held by a third of all items costs each
-    task one row.
+    A text appears as its digest, ``<column>_sha256``; ``first_id`` leads back
+    to it. Items of unknown (null) content are copies of nothing. Copies are
+    counted before the shuffle, so one content held by a third of all items
+    costs each task one row.
     """
-    return (
-        df.select(content_key(df, content).alias(KEY), F.col(id).alias("_id"))
-        .where(F.col(KEY).isNotNull())
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"))
+    names = printed_names(df, content)
+    reject_clash(names.values(), ["copies", "first_id"])
+    repeated = (
+        df.where(known(content))
+        .groupBy(*content_keys(df, content))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(id).alias("first_id"))
         .where("copies > 1")
     )
+    return printed(repeated, names)

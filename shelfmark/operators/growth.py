@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.names import as_list, reject_clash
+from shelfmark.functions.names import as_list, null_safe, reject_clash
 from shelfmark.functions.periods import ENCLOSING, period
 
 
@@ -42,9 +42,9 @@ def growth(
     )
     within = Window.partitionBy(*by, "_span").orderBy("period").rowsBetween(before, 0)
     counts = counts.withColumn("_within", F.sum("n_items").over(within))
-    same = counts["_span"] == spans["_from"]
-    for c in by:
-        same = same & counts[c].eqNullSafe(spans[f"_by_{c}"])
+    # plain equality would filter one side for nulls and so scan the table twice
+    pairs = [("_span", "_from"), *((c, f"_by_{c}") for c in by)]
+    same = null_safe(counts, spans, pairs)
     return counts.join(spans, same).select(
         *by, "period", "n_items", (F.col("_before") + F.col("_within")).alias("total_items")
     )

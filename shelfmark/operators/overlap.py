@@ -7,15 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import KEY, content_key
+from shelfmark.functions.content import content_keys, key_names, known
 
 
 def content_index(df: DataFrame, part: str, content: str | Iterable[str]) -> DataFrame:
     """One row per part and known content it holds, with the number of copies."""
     return (
-        df.select(F.col(part).alias("part"), content_key(df, content).alias(KEY))
-        .where(F.col("part").isNotNull() & F.col(KEY).isNotNull())
-        .groupBy("part", KEY)
+        df.where(F.col(part).isNotNull() & known(content))
+        .groupBy(F.col(part).alias("part"), *content_keys(df, content))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
 
@@ -40,14 +39,15 @@ def shared_with(index: DataFrame, anchors: Iterable) -> DataFrame:
     above the aggregation: pushed into the scan, the anchors' filter would make
     it a second scan instead of a reuse of the index's shuffle.
     """
+    keys = key_names(index.columns)
     anchor = F.when(F.col("copies") > 0, F.col("part"))
     anchored = index.where(anchor.isin(list(anchors))).select(
-        F.col("part").alias("anchor"), KEY
+        F.col("part").alias("anchor"), *keys
     )
     return (
         index.where("copies > 0")
-        .select("part", KEY)
-        .join(anchored, KEY)
+        .select("part", *keys)
+        .join(anchored, keys)
         .where("part != anchor")
         .groupBy("anchor", F.col("part").alias("other"))
         .agg(F.count(F.lit(1)).alias("n_shared"))
@@ -62,7 +62,7 @@ def overlap_depth(df: DataFrame, part: str, content: str | Iterable[str]) -> Dat
 def depth(index: DataFrame) -> DataFrame:
     """``overlap_depth`` on an index already made."""
     return (
-        index.groupBy(KEY)
+        index.groupBy(*key_names(index.columns))
         .agg(F.count(F.lit(1)).alias("n_parts"), F.sum("copies").alias("copies"))
         .groupBy("n_parts")
         .agg(F.count(F.lit(1)).alias("n_contents"), F.sum("copies").alias("n_items"))
@@ -85,7 +85,7 @@ def summary(index: DataFrame) -> DataFrame:
         F.sum("copies").alias("n_items"), F.count(F.lit(1)).alias("n_distinct")
     )
     sole = (
-        index.groupBy(KEY)
+        index.groupBy(*key_names(index.columns))
         .agg(
             F.count(F.lit(1)).alias("holders"),
             F.min("part").alias("part"),

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import content_key
+from shelfmark.functions.content import content_keys
 from shelfmark.functions.names import as_list, reject_clash
 
 
@@ -27,7 +27,7 @@ def profile(
     reject_clash(by, ["n_items", "n_distinct", "total"])
     aggs = [
         F.count(F.lit(1)).alias("n_items"),
-        F.count_distinct(content_key(df, content)).alias("n_distinct"),
+        F.count_distinct(*content_keys(df, content)).alias("n_distinct"),
     ]
     if measure is not None:
         aggs.append(F.sum(measure).alias("total"))

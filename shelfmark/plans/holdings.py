@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import KEY
+from shelfmark.functions.content import key_names, printed, printed_names
+from shelfmark.functions.names import reject_clash
 from shelfmark.operators import overlap
 from shelfmark.sources.shared import shared_folder
 
@@ -16,11 +17,14 @@ class Holdings:
     """A collection's index of (part, content) with its copies, written once.
 
     The reports below then read the index, some 50 bytes per part and content,
-    and not the collection's texts.
+    and not the collection's texts. It is not bucketed by content: a content
+    that very many parts hold would make one bucket, and its task, very large.
     """
 
     def __init__(self, df: DataFrame, part: str, content: str | Iterable[str]):
         spark = df.sparkSession
+        self.names = printed_names(df, content)
+        reject_clash(self.names.values(), ["copies", "n_parts"])
         self.path = shared_folder(spark, "holdings")
         overlap.content_index(df, part, content).write.parquet(self.path)
         self.index = spark.read.parquet(self.path)
@@ -39,8 +43,9 @@ class Holdings:
 
     def copies(self) -> DataFrame:
         """Contents held more than once, with their copies and holders."""
-        return (
-            self.index.groupBy(KEY)
+        repeated = (
+            self.index.groupBy(*key_names(self.index.columns))
             .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n_parts"))
             .where("copies > 1")
         )
+        return printed(repeated, self.names)

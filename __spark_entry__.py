@@ -257,6 +257,24 @@ def arrivals_stream_events(spark, d):
     return sm.read_arrivals(spark, f"{folder}/counts", by="event_type")
 
 
+def arrivals_watermark_events(spark, d):
+    # append mode holds back the windows that an hour's lateness could reach
+    folder = shared_folder(spark, "arrivals")
+    counts = sm.arrivals(stream_table(spark, d, "events"), "ts", "1 hour", "1 hour")
+    query = (
+        counts.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{folder}/counts")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    # the stream's windows are timestamps with zone, the table's times have none
+    bounds = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return spark.read.parquet(f"{folder}/counts").select(*bounds, "n_items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; each takes (spark, sf_dir)."""
     return {
@@ -298,6 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             concentration_curve_lineitem,
             arrivals_events,
             arrivals_stream_events,
+            arrivals_watermark_events,
         )
     }
 
@@ -467,4 +486,11 @@ def oracle_sql() -> dict[str, str]:
                    time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS window_end,
                    event_type, count(*) AS n_items
             FROM events GROUP BY ALL""",
+        "arrivals_watermark_events": """
+            SELECT window_start, window_start + INTERVAL '1 hour' AS window_end,
+                   count(*) AS n_items
+            FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start FROM events)
+            GROUP BY window_start
+            HAVING window_start + INTERVAL '1 hour'
+                   <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""",
     }

@@ -14,10 +14,11 @@ def as_list(names: str | Iterable[str]) -> list[str]:
 
 
 def reject_clash(names: Iterable[str], produced: Iterable[str]) -> None:
-    """Fail early when a group column has the name of a column the report adds."""
-    clash = sorted(set(names) & set(produced))
+    """Fail early when a given column has the name of a column the report adds."""
+    produced = {p.lower() for p in produced}  # Spark takes names in any case
+    clash = sorted(n for n in names if n.lower() in produced)
     if clash:
-        raise ValueError(f"group columns {clash} have the name of a report column")
+        raise ValueError(f"columns {clash} have the name of a report column")
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Iterable[tuple[str, str]]) -> Column:

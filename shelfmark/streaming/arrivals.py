@@ -36,12 +36,13 @@ def arrivals(
 
     On a stream, ``lateness`` sets the watermark: in append mode a window
     comes out once nothing that late can still reach it, and later items are
-    left out. ``append_arrivals`` leaves none out and holds nothing back.
+    left out. A watermark needs a timestamp with zone: a zone-less ``time`` is
+    then read in the session's, and the windows are such timestamps too.
+    ``append_arrivals`` leaves no item out and holds none back.
     """
     by = as_list(by)
     reject_clash(by, ["window_start", "window_end", "n_items"])
     if lateness is not None:
-        # a watermark needs the zoned type
         df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     return _per_window(df, time, width, by)
 

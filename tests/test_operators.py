@@ -210,6 +210,10 @@ def test_overlap(df, rows):
     assert result(got, "anchor", "other", "n_shared") == want_shared(rows, anchors)
 
 
+def test_overlap_without_anchors_is_empty(df):
+    assert sm.overlap_with(df, "part", "text", []).count() == 0
+
+
 def test_holdings(df, rows):
     held = sm.Holdings(df, "part", "text")
     assert result(held.summary(), *SUMMARY) == want_summary(rows)
@@ -381,12 +385,12 @@ def test_arrivals_of_a_table(df, rows):
 
 
 def test_report_columns_are_protected(df):
-    clash = df.withColumnRenamed("part", "n_items")
+    clash = df.withColumnRenamed("part", "N_Items")
     for call in (
-        lambda: sm.profile(clash, "n_items", "text"),
-        lambda: sm.composition(clash, "n_items"),
-        lambda: sm.concentration(clash, "n_items"),
-        lambda: sm.growth(clash, "at", "day", "n_items"),
+        lambda: sm.profile(clash, "N_Items", "text"),
+        lambda: sm.composition(clash, "N_Items"),
+        lambda: sm.concentration(clash, "N_Items"),
+        lambda: sm.growth(clash, "at", "day", "N_Items"),
         lambda: sm.share(df, ["part"], "part"),
         lambda: sm.exact_duplicates(df, [], "id"),
     ):

@@ -38,9 +38,9 @@ def make_rows(seed, n=400):
     return rows
 
 
-@pytest.fixture(scope="module", params=["full", "empty"])
+@pytest.fixture(scope="module", params=[1, 2, None], ids=["seed1", "seed2", "empty"])
 def rows(request):
-    return make_rows(1) if request.param == "full" else []
+    return make_rows(request.param) if request.param else []
 
 
 @pytest.fixture(scope="module")

@@ -44,3 +44,18 @@ def period(df: DataFrame, time: str, unit: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.date_trunc(unit, at)
     raise TypeError(f"{time} is a date and has no {unit}")
+
+
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def as_instant(at: Column) -> Column:
+    """A zone-less timestamp taken for UTC, whatever the session time zone."""
+    seconds = (at - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)")
+    return F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
+
+
+def as_zoneless(at: Column) -> Column:
+    """The reverse of ``as_instant``."""
+    seconds = (F.unix_micros(at).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds)

@@ -7,8 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from shelfmark.functions.names import as_list, reject_clash
+from shelfmark.functions.periods import as_instant, as_zoneless
 
 
 def _per_window(df: DataFrame, time: str, width: str, by: list[str]) -> DataFrame:
@@ -36,15 +38,20 @@ def arrivals(
 
     On a stream, ``lateness`` sets the watermark: in append mode a window
     comes out once nothing that late can still reach it, and later items are
-    left out. A watermark needs a timestamp with zone: a zone-less ``time`` is
-    then read in the session's, and the windows are such timestamps too.
-    ``append_arrivals`` leaves no item out and holds none back.
+    left out. ``append_arrivals`` leaves no item out and holds none back.
     """
     by = as_list(by)
     reject_clash(by, ["window_start", "window_end", "n_items"])
-    if lateness is not None:
-        df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
-    return _per_window(df, time, width, by)
+    if lateness is None:
+        return _per_window(df, time, width, by)
+    zoneless = isinstance(df.schema[time].dataType, TimestampNTZType)
+    if zoneless:  # which a watermark does not take
+        df = df.withColumn(time, as_instant(F.col(time)))
+    counts = _per_window(df.withWatermark(time, lateness), time, width, by)
+    if zoneless:
+        for bound in ("window_start", "window_end"):
+            counts = counts.withColumn(bound, as_zoneless(F.col(bound)))
+    return counts
 
 
 def append_arrivals(

@@ -1,11 +1,14 @@
 """Arrivals of a stream that comes in several files, some of it late."""
 
+import os
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import shelfmark as sm
+from shelfmark.functions.periods import as_instant, as_zoneless
 from shelfmark.sources.shared import shared_folder
 
 SCHEMA = "id long, at timestamp_ntz, kind string"
@@ -65,13 +68,18 @@ def test_late_items_and_later_files_are_added(spark, folder):
     assert run(spark, folder) == want(FILES)
 
 
+def test_zoneless_times_pass_through_instants(spark):
+    times = [datetime(2024, 3, 31, 2, 30, 1, 250_001), datetime(1899, 12, 31, 23, 59, 59, 999_999)]
+    df = spark.createDataFrame([(t,) for t in times], "at timestamp_ntz")
+    back = df.select(as_zoneless(as_instant(F.col("at"))))
+    assert [r[0] for r in back.collect()] == times
+
+
 def test_lost_commit_is_repeated_not_added(spark, folder):
     for minutes in FILES:
         add_file(spark, folder, minutes)
     assert run(spark, folder) == want(FILES)
     # as if the last batch had written its counts and died before committing
-    import os
-
     os.replace(f"{folder}/checkpoint/commits/2", f"{folder}/lost-commit")
     hidden = f"{folder}/checkpoint/commits/.2.crc"
     if os.path.exists(hidden):
@@ -80,7 +88,18 @@ def test_lost_commit_is_repeated_not_added(spark, folder):
     assert os.path.exists(f"{folder}/checkpoint/commits/2")
 
 
-def test_watermark_holds_back_open_windows(spark, folder):
+# half an hour off UTC; with clock changes
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "Europe/Berlin"])
+def test_watermark_holds_back_open_windows(spark, folder, zone):
+    usual = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        watermarked(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", usual)
+
+
+def watermarked(spark, folder):
     for minutes in FILES[:2]:
         add_file(spark, folder, minutes)
     counts = sm.arrivals(open_stream(spark, folder), "at", "1 hour", "10 minutes", "kind")

@@ -128,11 +128,11 @@ def overlap_summary_suppliers(spark, d):
 
 
 def holdings_summary_documents(spark, d):
-    return sm.Holdings(table(spark, d, "documents"), "source", "text").summary()
+    return sm.Holdings.write(table(spark, d, "documents"), "source", "text").summary()
 
 
 def holdings_copies_documents(spark, d):
-    return sm.Holdings(table(spark, d, "documents"), "source", "text").copies()
+    return sm.Holdings.write(table(spark, d, "documents"), "source", "text").copies()
 
 
 # --- coverage and flags ------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.names import as_list
+from shelfmark.functions.names import as_list, reject_clash
 
 
 def content_keys(df: DataFrame, content: str | Iterable[str]) -> list[Column]:
@@ -17,12 +17,15 @@ def content_keys(df: DataFrame, content: str | Iterable[str]) -> list[Column]:
 
     Strings and binaries enter as their SHA-256 (32 bytes), so that a shuffle
     or a hash table never carries whole texts; other types enter as they are.
+    Each column's metadata holds its name in a report, which is also kept where
+    the keys are written to a table.
     """
     keys = []
     for i, name in enumerate(as_list(content)):
-        text = isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
-        key = F.unhex(F.sha2(F.col(name), 256)) if text else F.col(name)
-        keys.append(key.alias(f"_c{i}"))
+        key, label = F.col(name), name
+        if isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType)):
+            key, label = F.unhex(F.sha2(key, 256)), f"{name}_sha256"
+        keys.append(key.alias(f"_c{i}", metadata={"label": label}))
     if not keys:
         raise ValueError("no content column given")
     return keys
@@ -41,23 +44,14 @@ def known(content: str | Iterable[str]) -> Column:
     return result
 
 
-def printed_names(df: DataFrame, content: str | Iterable[str]) -> dict[str, str]:
-    """Content key -> its name in a report: ``text_sha256`` for a digest of ``text``."""
-    names = {}
-    for i, name in enumerate(as_list(content)):
-        text = isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
-        names[f"_c{i}"] = f"{name}_sha256" if text else name
-    return names
-
-
-def printed(keyed: DataFrame, names: dict[str, str]) -> DataFrame:
-    """A report with its content keys named and its digests in hexadecimal."""
+def labelled(keyed: DataFrame) -> DataFrame:
+    """A report with its content keys under their labels, digests in hexadecimal."""
+    keys = key_names(keyed.columns)
+    others = [c for c in keyed.columns if c not in keys]
+    labels = [keyed.schema[k].metadata["label"] for k in keys]
+    reject_clash(labels, others)
     columns = []
-    for c in keyed.columns:
-        if c not in names:
-            columns.append(F.col(c))
-        elif isinstance(keyed.schema[c].dataType, T.BinaryType):  # a digest
-            columns.append(F.lower(F.hex(c)).alias(names[c]))
-        else:
-            columns.append(F.col(c).alias(names[c]))
-    return keyed.select(*columns)
+    for key, label in zip(keys, labels):
+        digest = isinstance(keyed.schema[key].dataType, T.BinaryType)
+        columns.append((F.lower(F.hex(key)) if digest else F.col(key)).alias(label, metadata={}))
+    return keyed.select(*columns, *others)

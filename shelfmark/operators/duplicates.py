@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import content_keys, known, printed, printed_names
-from shelfmark.functions.names import reject_clash
+from shelfmark.functions.content import content_keys, known, labelled
 
 
 def exact_duplicates(df: DataFrame, content: str | Iterable[str], id: str) -> DataFrame:
@@ -19,12 +18,10 @@ def exact_duplicates(df: DataFrame, content: str | Iterable[str], id: str) -> Da
     counted before the shuffle, so one content held by a third of all items
     costs each task one row.
     """
-    names = printed_names(df, content)
-    reject_clash(names.values(), ["copies", "first_id"])
     repeated = (
         df.where(known(content))
         .groupBy(*content_keys(df, content))
         .agg(F.count(F.lit(1)).alias("copies"), F.min(id).alias("first_id"))
         .where("copies > 1")
     )
-    return printed(repeated, names)
+    return labelled(repeated)

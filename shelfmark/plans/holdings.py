@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.content import key_names, printed, printed_names
-from shelfmark.functions.names import reject_clash
+from shelfmark.functions.content import key_names, labelled
 from shelfmark.operators import overlap
 from shelfmark.sources.shared import shared_folder
 
@@ -21,13 +20,22 @@ class Holdings:
     that very many parts hold would make one bucket, and its task, very large.
     """
 
-    def __init__(self, df: DataFrame, part: str, content: str | Iterable[str]):
-        spark = df.sparkSession
-        self.names = printed_names(df, content)
-        reject_clash(self.names.values(), ["copies", "n_parts"])
-        self.path = shared_folder(spark, "holdings")
-        overlap.content_index(df, part, content).write.parquet(self.path)
-        self.index = spark.read.parquet(self.path)
+    def __init__(self, index: DataFrame):
+        self.index = index
+
+    @classmethod
+    def write(
+        cls, df: DataFrame, part: str, content: str | Iterable[str], path: str | None = None
+    ) -> Holdings:
+        """Index ``df`` at ``path``, or in a new folder that all executors share."""
+        path = path or shared_folder(df.sparkSession, "holdings")
+        overlap.content_index(df, part, content).write.parquet(path)
+        return cls.open(df.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Holdings:
+        """The index written at ``path`` before."""
+        return cls(spark.read.parquet(path))
 
     def summary(self) -> DataFrame:
         """See ``overlap_summary``."""
@@ -48,4 +56,4 @@ class Holdings:
             .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n_parts"))
             .where("copies > 1")
         )
-        return printed(repeated, self.names)
+        return labelled(repeated)

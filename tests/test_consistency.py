@@ -73,7 +73,7 @@ def test_overlap_reports_agree(documents):
     repeated = sm.exact_duplicates(documents, "text", "doc_id")
     copies = totals(repeated, F.col("copies") - 1)[0]
     assert documents.count() - documents.select("text").distinct().count() == copies
-    held = sm.Holdings(documents, "source", "text").copies()
+    held = sm.Holdings.write(documents, "source", "text").copies()
     columns = ["text_sha256", "copies"]
     assert set(held.select(columns).collect()) == set(repeated.select(columns).collect())
 

@@ -214,8 +214,13 @@ def test_overlap_without_anchors_is_empty(df):
     assert sm.overlap_with(df, "part", "text", []).count() == 0
 
 
-def test_holdings(df, rows):
-    held = sm.Holdings(df, "part", "text")
+@pytest.mark.parametrize("reopened", [False, True])
+def test_holdings(spark, df, rows, reopened, tmp_path):
+    if reopened:
+        sm.Holdings.write(df, "part", "text", str(tmp_path / "index"))
+        held = sm.Holdings.open(spark, str(tmp_path / "index"))
+    else:
+        held = sm.Holdings.write(df, "part", "text")
     assert result(held.summary(), *SUMMARY) == want_summary(rows)
     assert result(held.depth(), "n_parts", "n_contents", "n_items") == want_depth(rows)
     got = held.shared_with(["p1"])
@@ -393,6 +398,7 @@ def test_report_columns_are_protected(df):
         lambda: sm.growth(clash, "at", "day", "N_Items"),
         lambda: sm.share(df, ["part"], "part"),
         lambda: sm.exact_duplicates(df, [], "id"),
+        lambda: sm.exact_duplicates(df.withColumnRenamed("size", "copies"), "copies", "id"),
     ):
         with pytest.raises(ValueError):
             call()

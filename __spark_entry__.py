@@ -145,7 +145,7 @@ def coverage_gap_orders(spark, d):
         "o_orderkey",
         ["o_orderpriority", "o_orderstatus"],
         other_on="l_orderkey",
-        unique_key=True,
+        fold=False,
     )
 
 
@@ -155,7 +155,7 @@ def coverage_gap_documents(spark, d):
         table(spark, d, "labels"),
         "doc_id",
         ["source", "lang"],
-        unique_key=True,
+        fold=False,
     )
 
 
@@ -181,7 +181,7 @@ def flag_rate_orders(spark, d):
         "o_orderpriority",
         "returned",
         flags_on="l_orderkey",
-        unique_key=True,
+        fold=False,
     )
 
 
@@ -198,6 +198,7 @@ def flag_rate_lineitem(spark, d):
         "l_suppkey",
         ["urgent", "finished"],
         flags_on="o_orderkey",
+        fold=False,
     )
 
 

@@ -10,20 +10,14 @@ from pyspark.sql import functions as F
 from shelfmark.functions.names import as_list, null_safe, reject_clash
 
 
-def _items_per_key(
-    df: DataFrame, on: list[str], by: list[str], unique_key: bool
-) -> DataFrame:
-    """Items as (join key, group, how many), under names nothing else uses.
-
-    Folding equal rows keeps a frequent key from filling one join task. Where
-    the key does not repeat there is nothing to fold, and no need to shuffle.
-    """
+def _items_per_key(df: DataFrame, on: list[str], by: list[str], fold: bool) -> DataFrame:
+    """Items as (join key, group, how many), under names nothing else uses."""
     cols = [F.col(c).alias(f"_on{i}") for i, c in enumerate(on)]
     cols += [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
     items = df.select(*cols)
-    if unique_key:
-        return items.withColumn("_n", F.lit(1).cast("bigint"))
-    return items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("_n"))
+    if fold:
+        return items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return items.withColumn("_n", F.lit(1).cast("bigint"))
 
 
 def _rows_per_key(
@@ -38,14 +32,8 @@ def _rows_per_key(
     return grouped.agg(rows, *[v.alias(k) for k, v in (columns or {}).items()])
 
 
-def _same_key(items: DataFrame, rows: DataFrame, on: list[str], unique_key: bool) -> Column:
-    pairs = [(f"_on{i}", f"_key{i}") for i in range(len(on))]
-    if not unique_key:
-        return null_safe(items, rows, pairs)
-    same = F.lit(True)
-    for a, b in pairs:
-        same = same & (items[a] == rows[b])
-    return same
+def _same_key(items: DataFrame, rows: DataFrame, on: list[str]) -> Column:
+    return null_safe(items, rows, [(f"_on{i}", f"_key{i}") for i in range(len(on))])
 
 
 def _groups(by: list[str]) -> list:
@@ -58,24 +46,28 @@ def coverage_gap(
     on: str | Iterable[str],
     by: str | Iterable[str],
     other_on: str | Iterable[str] | None = None,
-    unique_key: bool = False,
+    fold: bool = True,
 ) -> DataFrame:
     """Per group: items, and items with no row in ``other`` for their key.
 
     An item whose key is null has no counterpart. ``other_on`` names the key
-    columns in ``other`` where they differ. Say ``unique_key`` when no value of
-    ``on``, null included, repeats in ``df``: it saves a shuffle of ``df``.
+    columns in ``other`` where they differ.
+
+    With ``fold`` the items of equal key and group become one row before they
+    are shuffled for the join. Where few are equal (``on`` is the items' own
+    key, say), ``fold=False`` gives the same and saves a shuffle; a frequent
+    key's partition is then left to adaptive execution to split.
     """
     on, by = as_list(on), as_list(by)
     other_on = on if other_on is None else as_list(other_on)
     if len(other_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(other_on)}")
     reject_clash(by, ["n_items", "n_missing"])
-    items = _items_per_key(df, on, by, unique_key)
+    items = _items_per_key(df, on, by, fold)
     there = _rows_per_key(other, other_on)
     missing = F.when(F.col("_m").isNull(), F.col("_n")).otherwise(F.lit(0))
     return (
-        items.join(there, _same_key(items, there, on, unique_key), "left")
+        items.join(there, _same_key(items, there, on), "left")
         .groupBy(*_groups(by))
         .agg(F.sum("_n").alias("n_items"), F.sum(missing).alias("n_missing"))
     )
@@ -88,25 +80,24 @@ def flag_rate(
     by: str | Iterable[str],
     names: str | Iterable[str],
     flags_on: str | Iterable[str] | None = None,
-    unique_key: bool = False,
+    fold: bool = True,
 ) -> DataFrame:
     """Per group: item-and-flag rows joined on ``on``, and the total of each flag.
 
-    Equal to an inner join followed by sums, but both sides are folded per key
-    first and the counts multiplied, so a key frequent on both sides makes one
-    row per group and not one per pair. ``unique_key`` is as in
-    ``coverage_gap``.
+    Equal to an inner join followed by sums, but the flags are totalled per key
+    first and multiplied by the items' count, so a key frequent on both sides
+    does not make a row per pair. ``fold`` is as in ``coverage_gap``.
     """
     on, by, names = as_list(on), as_list(by), as_list(names)
     flags_on = on if flags_on is None else as_list(flags_on)
     if len(flags_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(flags_on)}")
     reject_clash(by, ["n_flagged", *names])
-    items = _items_per_key(df, on, by, unique_key)
+    items = _items_per_key(df, on, by, fold)
     sums = {f"_flag{i}": F.sum(c) for i, c in enumerate(names)}
     per_key = _rows_per_key(flags, flags_on, sums)
     return (
-        items.join(per_key, _same_key(items, per_key, on, unique_key))
+        items.join(per_key, _same_key(items, per_key, on))
         .groupBy(*_groups(by))
         .agg(
             F.sum(F.col("_n") * F.col("_m")).alias("n_flagged"),

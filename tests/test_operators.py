@@ -249,14 +249,15 @@ def make_flags(seed, n=150):
     ]
 
 
+@pytest.mark.parametrize("fold", [True, False])
 @pytest.mark.parametrize("flags", [make_flags(5), []], ids=["flags", "none"])
-def test_coverage_gap_and_flag_rate(spark, df, rows, flags):
+def test_coverage_gap_and_flag_rate(spark, df, rows, flags, fold):
     other = spark.createDataFrame(flags, FLAG_SCHEMA)
     there = {f[0] for f in flags} - {None}
     want = {
         (*k, len(g), sum(r[3] not in there for r in g)) for k, g in grouped(rows, 1, 2).items()
     }
-    got = sm.coverage_gap(df, other, "text", ["part", "kind"], other_on="key")
+    got = sm.coverage_gap(df, other, "text", ["part", "kind"], other_on="key", fold=fold)
     assert result(got, "part", "kind", "n_items", "n_missing") == want
 
     want = set()
@@ -264,19 +265,10 @@ def test_coverage_gap_and_flag_rate(spark, df, rows, flags):
         pairs = [f for r in g for f in flags if r[3] is not None and f[0] == r[3]]
         if pairs:
             want.add((*k, len(pairs), total(f[2] for f in pairs), len(pairs)))
-    got = sm.flag_rate(df, other, "text", "kind", ["good", "bad"], flags_on="key")
+    got = sm.flag_rate(df, other, "text", "kind", ["good", "bad"], flags_on="key", fold=fold)
     assert result(got, "kind", "n_flagged", "good", "bad") == want
 
 
-def test_unique_key_changes_nothing(spark, df):
-    other = df.where("size % 2 = 0").select("id", F.lit(1).alias("even"))
-    for report in (
-        lambda unique: sm.coverage_gap(df, other, "id", "part", unique_key=unique),
-        lambda unique: sm.flag_rate(df, other, "id", "part", "even", unique_key=unique),
-    ):
-        assert set(report(True).collect()) == set(report(False).collect())
-
-
 def test_two_join_columns(spark, df, rows):
     other = spark.createDataFrame(make_flags(6), FLAG_SCHEMA)
     there = {(f[1], f[0]) for f in make_flags(6) if f[0] is not None}

@@ -97,6 +97,8 @@ def test_skewed_joins_are_split(skewed, no_broadcast):
         sm.share(skewed, ["part", "id"], "part"),
         sm.overlap_with(skewed.withColumnRenamed("part", "p"), "id", "content", [1, 4]),
         sm.coverage_gap(skewed, once, "part", "id"),
+        sm.coverage_gap(skewed, once, "part", "content", fold=False),
         sm.flag_rate(skewed, once, "part", "id", "other_flag"),
+        sm.flag_rate(skewed, once, "part", "content", "other_flag", fold=False),
     ):
         assert "SortMergeJoin(skew=true)" in final(report)

@@ -198,7 +198,6 @@ def flag_rate_lineitem(spark, d):
         "l_suppkey",
         ["urgent", "finished"],
         flags_on="o_orderkey",
-        fold=False,
     )
 
 

@@ -55,8 +55,9 @@ def coverage_gap(
 
     With ``fold`` the items of equal key and group become one row before they
     are shuffled for the join. Where few are equal (``on`` is the items' own
-    key, say), ``fold=False`` gives the same and saves a shuffle; a frequent
-    key's partition is then left to adaptive execution to split.
+    key, say), ``fold=False`` gives the same and saves a shuffle. A frequent
+    key's partition is then left to adaptive execution to split, which goes by
+    its compressed bytes and so finds many equal rows late.
     """
     on, by = as_list(on), as_list(by)
     other_on = on if other_on is None else as_list(other_on)

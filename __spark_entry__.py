@@ -6,6 +6,7 @@ sf=0.001, ``queries`` are compared with ``oracle_sql`` at sf=0.01.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -19,6 +20,12 @@ import shelfmark as sm  # noqa: E402
 from shelfmark.sources.shared import shared_folder  # noqa: E402
 from shelfmark.sources.tables import stream_table, table  # noqa: E402
 
+# The operators for training data are a part that the library works without.
+llm = None
+if importlib.util.find_spec("shelfmark.llm"):
+    import corpus_pipeline
+    from shelfmark.llm import queries as llm
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -277,6 +284,13 @@ def arrivals_watermark_events(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; each takes (spark, sf_dir)."""
+    if llm is None:
+        return own_queries()
+    return own_queries() | llm.QUERIES | {"pipeline": corpus_pipeline.run}
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the collection reports."""
     return {
         f.__name__: f
         for f in (
@@ -377,7 +391,12 @@ def _concentration_sql(table, by):
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results in DuckDB's SQL, written the plain way."""
+    """The same results in DuckDB's SQL, for the queries that SQL can express."""
+    return own_sql() if llm is None else own_sql() | llm.SQL
+
+
+def own_sql() -> dict[str, str]:
+    """The collection reports' results in SQL, written the plain way."""
     return {
         "profile_documents": """
             SELECT source, lang, count(*) AS n_items, count(DISTINCT text) AS n_distinct,

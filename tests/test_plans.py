@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 # scans that reading each given table once makes
 SCANS = {
     name: 2 if name.startswith(("coverage_gap", "flag_rate")) else 1
-    for name in contract.queries()
+    for name in contract.own_queries()
 }
 
 
@@ -26,7 +26,7 @@ def final(df):
     return execution.executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.own_queries()))
 def test_one_scan_and_no_cross_join(spark, name):
     plan = final(contract.queries()[name](spark, FOLDER))
     # holdings read the index once per use of it
@@ -36,7 +36,7 @@ def test_one_scan_and_no_cross_join(spark, name):
         assert unwanted not in plan
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.own_queries()))
 def test_only_bounded_rows_meet_in_one_task(spark, name):
     plan = physical(contract.queries()[name](spark, FOLDER))
     if name.startswith("concentration") or name == "growth_orders_month":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import quality
+from shelfmark.llm import packing, quality, simhash
 from shelfmark.llm.staging import staged
 from shelfmark.sources.tables import table
 
@@ -26,7 +26,18 @@ def op1_host_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, d, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, d, "documents"))
+    return packing.best_fit_packing(pieces).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import packing, quality, simhash
+from shelfmark.llm import decontaminate, packing, quality, secrets, simhash
 from shelfmark.llm.staging import staged
 from shelfmark.sources.tables import table
 
@@ -30,14 +30,26 @@ def op3_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_components(table(spark, d, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, d, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, d, "documents"))
     return packing.best_fit_packing(pieces).withColumnRenamed("id", "doc_id")
 
 
+def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return secrets.secret_scan(docs, secrets.fit_tagger(docs)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}

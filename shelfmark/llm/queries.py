@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, counts, decontaminate, html, licences, packing, quality, secrets, simhash
+from shelfmark.llm import (
+    chat,
+    counts,
+    decontaminate,
+    html,
+    licences,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    suffixes,
+)
 from shelfmark.llm.staging import staged
 from shelfmark.sources.shared import shared_folder
 from shelfmark.sources.tables import table
@@ -52,6 +63,10 @@ def op3_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_components(table(spark, d, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, d, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, d, "benchmark"))
@@ -88,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_chat_format": op2_chat_format,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_text": op6_html_text,
     "op7_best_fit_packing": op7_best_fit_packing,

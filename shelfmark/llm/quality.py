@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm.rows import free_name
+
 # fixed values of the contract
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -164,14 +166,6 @@ def host_verdicts(hosts: DataFrame, limit: float = 0.5) -> DataFrame:
     return hosts.select("*", *rates, rejected.alias("rejected"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def judged(
     docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5
 ) -> tuple[DataFrame, str]:

@@ -1,13 +1,18 @@
 """From raw documents to packed sequences: the operators one after another.
 
 Each stage takes what the one before it kept, and its decisions take effect.
+Nulls, empty texts and repeated rows have the results that the operators'
+docstrings define: a stage judges every row, and a row stays or goes by itself
+but for near duplicates, of which one row stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import quality
+from shelfmark.llm import decontaminate, packing, quality, secrets, simhash
+from shelfmark.llm.rows import with_row_keys
 from shelfmark.llm.staging import staged
 from shelfmark.sources.tables import table
 
@@ -18,11 +23,57 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return marked.where(kept).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one of the smallest doc_id, and of rows
+    that share it, the first in the table."""
+    keyed, keys = with_row_keys(docs)
+    printed = staged(
+        keyed.select(*keys, "doc_id", simhash.fingerprints("text").alias("fp")), "prints"
+    )
+    groups = simhash.near_duplicates(printed, "doc_id").withColumnRenamed("fp", "_fp")
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *keys)
+    first = (
+        printed.join(groups, F.col("fp") == F.col("_fp"))
+        .groupBy("component_id")
+        .agg(F.min(own).alias("first"))
+        .select(*[F.col(f"first.{k}") for k in keys])
+    )
+    return keyed.join(first, keys, "left_semi").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no more of the benchmark than the rule allows."""
+    keyed, keys = with_row_keys(docs)
+    judged = decontaminate.contamination(
+        keyed.select(*keys, "text"), table(spark, sf_dir, "benchmark")
+    )
+    return keyed.join(judged.where("contaminated"), keys, "left_anti").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    scanned = secrets.secret_scan(docs, secrets.fit_tagger(docs))
+    length = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text"))
+    return scanned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(
+        *docs.columns
+    )
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the packed sequences."""
+    pieces = packing.best_fit_packing(packing.token_pieces(docs))
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-# tokens, fingerprints, taggers and packing are beyond SQL
+# fingerprints, taggers, tokens and packing are beyond SQL
 ORACLE_SQL = None
 
 

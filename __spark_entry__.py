@@ -267,13 +267,13 @@ def arrivals_stream_events(spark, d):
 
 
 def arrivals_watermark_events(spark, d):
-    # append mode holds back the windows that an hour's lateness could reach
+    # complete mode: every window comes out whole, the last ones too; each batch
+    # rewrites the table, so the last one written is the result
     folder = shared_folder(spark, "arrivals")
     counts = sm.arrivals(stream_table(spark, d, "events"), "ts", "1 hour", "1 hour")
     query = (
-        counts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/counts")
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts"))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -282,6 +282,63 @@ def arrivals_watermark_events(spark, d):
     return spark.read.parquet(f"{folder}/counts")
 
 
+# --- nulls, of which the tables have none, made of their values ---------------
+
+
+def _with_nulls(spark, d):
+    known = F.expr("case when source <> 'src3' then text end")
+    return table(spark, d, "documents").select(
+        F.expr("nullif(source, 'src5')").alias("part"),
+        known.alias("text"),
+        F.expr("case when lang <> 'de' then doc_id end").alias("key"),
+    )
+
+
+_NULL_DOCS = """SELECT nullif(source, 'src5') AS part, CASE WHEN source <> 'src3' THEN text END AS text,
+                       CASE WHEN lang <> 'de' THEN doc_id END AS key FROM documents"""
+
+
+def nulls_overlap_summary(spark, d):
+    return sm.overlap_summary(_with_nulls(spark, d), "part", "text")
+
+
+def nulls_overlap_with(spark, d):
+    return sm.overlap_with(_with_nulls(spark, d), "part", "text", [None, "src0"])
+
+
+def nulls_overlap_depth(spark, d):
+    return sm.overlap_depth(_with_nulls(spark, d), "part", "text")
+
+
+def nulls_profile(spark, d):
+    return sm.profile(_with_nulls(spark, d), "part", "text")
+
+
+def nulls_coverage_gap(spark, d):
+    labels = table(spark, d, "labels")
+    return sm.coverage_gap(_with_nulls(spark, d), labels, "key", "part", "doc_id", fold=False)
+
+
+def nulls_flag_rate(spark, d):
+    cost = F.expr("cast(quality + 0.12345678 as decimal(18,8))").alias("cost")
+    costs = table(spark, d, "labels").select("doc_id", cost)
+    rates = sm.flag_rate(_with_nulls(spark, d), costs, "key", "part", "cost", "doc_id")
+    return rates.withColumn("cost", F.col("cost").cast("double"))
+
+
+def holdings_depth_documents(spark, d):
+    return sm.Holdings.write(table(spark, d, "documents"), "source", "text").depth()
+
+
+def holdings_shared_documents(spark, d):
+    held = sm.Holdings.write(table(spark, d, "documents"), "source", "text")
+    return held.shared_with(["src0", "src7"])
+
+
+def growth_orders_week(spark, d):
+    return sm.growth(table(spark, d, "orders"), "o_orderdate", "week")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; each takes (spark, sf_dir)."""
     if llm is None:
@@ -331,6 +388,15 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             arrivals_events,
             arrivals_stream_events,
             arrivals_watermark_events,
+            nulls_overlap_summary,
+            nulls_overlap_with,
+            nulls_overlap_depth,
+            nulls_profile,
+            nulls_coverage_gap,
+            nulls_flag_rate,
+            holdings_depth_documents,
+            holdings_shared_documents,
+            growth_orders_week,
         )
     }
 
@@ -509,7 +575,41 @@ def own_sql() -> dict[str, str]:
             SELECT window_start, window_start + INTERVAL '1 hour' AS window_end,
                    count(*) AS n_items
             FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start FROM events)
-            GROUP BY window_start
-            HAVING window_start + INTERVAL '1 hour'
-                   <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""",
+            GROUP BY window_start""",
+        "nulls_overlap_summary": f"""
+            WITH d AS ({_NULL_DOCS}),
+            held AS (SELECT part, text, count(*) AS n FROM d GROUP BY part, text),
+            parts AS (SELECT text, count(*) AS holders FROM held WHERE text IS NOT NULL GROUP BY text)
+            SELECT part, sum(n)::bigint AS n_items, count(held.text) AS n_distinct,
+                   count(*) FILTER (holders = 1) AS n_sole,
+                   coalesce(sum(n) FILTER (holders = 1), 0)::bigint AS sole_items,
+                   count(*) FILTER (holders > 1) AS n_shared
+            FROM held LEFT JOIN parts USING (text) GROUP BY part""",
+        "nulls_overlap_with": f"""
+            WITH held AS (SELECT DISTINCT part, text FROM ({_NULL_DOCS}))
+            SELECT a.part AS anchor, b.part AS other, count(*) AS n_shared
+            FROM held a JOIN held b ON a.text = b.text AND a.part IS DISTINCT FROM b.part
+            WHERE a.part IS NULL OR a.part = 'src0' GROUP BY a.part, b.part""",
+        "nulls_overlap_depth": f"""
+            WITH held AS (SELECT part, text, count(*) AS n FROM ({_NULL_DOCS})
+                          WHERE text IS NOT NULL GROUP BY part, text),
+            per AS (SELECT text, count(*) AS n_parts, sum(n) AS n FROM held GROUP BY text)
+            SELECT n_parts, count(*) AS n_contents, sum(n)::bigint AS n_items FROM per GROUP BY n_parts""",
+        "nulls_profile": f"""
+            SELECT part, count(*) AS n_items, count(DISTINCT text) AS n_distinct
+            FROM ({_NULL_DOCS}) GROUP BY part""",
+        "nulls_coverage_gap": f"""
+            SELECT part, count(*) AS n_items, count(*) FILTER (l.doc_id IS NULL) AS n_missing
+            FROM ({_NULL_DOCS}) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l
+                 ON d.key = l.doc_id GROUP BY part""",
+        "nulls_flag_rate": f"""
+            SELECT part, count(*) AS n_flagged, sum(l.cost)::double AS cost
+            FROM ({_NULL_DOCS}) d JOIN (SELECT doc_id, (quality + 0.12345678)::decimal(18,8) AS cost
+                                        FROM labels) l ON d.key = l.doc_id GROUP BY part""",
+        "holdings_depth_documents": _overlap_depth_sql("documents", "source", "text"),
+        "holdings_shared_documents": _overlap_with_sql("documents", "source", "text", "'src0', 'src7'"),
+        "growth_orders_week": """
+            WITH w AS (SELECT date_trunc('week', o_orderdate)::date AS period, count(*) AS n_items
+                       FROM orders GROUP BY ALL)
+            SELECT period, n_items, sum(n_items) OVER (ORDER BY period)::bigint AS total_items FROM w""",
     }

@@ -18,6 +18,7 @@ ENCLOSING = {
     "quarter": "year",
     "year": None,
 }
+SHORT = ("second", "minute", "hour")
 
 
 def period(df: DataFrame, time: str, unit: str) -> Column:
@@ -33,7 +34,7 @@ def period(df: DataFrame, time: str, unit: str) -> Column:
     if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise TypeError(f"{time} is {kind.simpleString()}, not a date or timestamp")
     at = F.col(time)
-    if unit not in ("second", "minute", "hour"):
+    if unit not in SHORT:
         day = at.cast("date")
         return day if unit == "day" else F.trunc(day, unit)
     if isinstance(kind, T.TimestampNTZType):

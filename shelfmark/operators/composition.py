@@ -19,7 +19,8 @@ def composition(
     ``by`` from left to right, its bits are 1 where the attribute is summed over.
 
     The items are counted at the finest grain first, so that the cube expands
-    the groups and not the rows.
+    the groups and not the rows. An empty table has no groups and gives no
+    rows, not even a total.
     """
     by = as_list(by)
     reject_clash(by, ["n_items", "total", "subtotal"])

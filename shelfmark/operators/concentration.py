@@ -30,7 +30,9 @@ def _curve(counts: DataFrame) -> DataFrame:
 def concentration_curve(df: DataFrame, by: str | Iterable[str]) -> DataFrame:
     """For each number of items a value of ``by`` can have: the values with that
     many, and values and items down to it, counted from the largest."""
-    return _curve(df.groupBy(*as_list(by)).agg(F.count(F.lit(1)).alias("n_items")))
+    by = as_list(by)
+    reject_clash(by, ["n_items", "n_values", "cum_values", "cum_items"])
+    return _curve(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_items")))
 
 
 def concentration(df: DataFrame, by: str | Iterable[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.names import as_list, null_safe, reject_clash
 
@@ -20,14 +21,18 @@ def _items_per_key(df: DataFrame, on: list[str], by: list[str], fold: bool) -> D
     return items.withColumn("_n", F.lit(1).cast("bigint"))
 
 
+def _known(on: list[str]) -> Column:
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
 def _rows_per_key(
     df: DataFrame, on: list[str], columns: dict[str, Column] | None = None
 ) -> DataFrame:
     """The other table folded to one row per known key, aggregating ``columns``."""
-    known = F.lit(True)
-    for c in on:
-        known = known & F.col(c).isNotNull()
-    grouped = df.where(known).groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(on)])
+    grouped = df.where(_known(on)).groupBy(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(on)])
     rows = F.count(F.lit(1)).alias("_m")
     return grouped.agg(rows, *[v.alias(k) for k, v in (columns or {}).items()])
 
@@ -64,11 +69,14 @@ def coverage_gap(
     if len(other_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(other_on)}")
     reject_clash(by, ["n_items", "n_missing"])
-    items = _items_per_key(df, on, by, fold)
-    there = _rows_per_key(other, other_on)
+    # items of unknown key match nothing; the join deals them out by their own turn
+    unknown = ~_known([f"_on{i}" for i in range(len(on))])
+    spread = F.when(unknown, F.monotonically_increasing_id() + 1).otherwise(F.lit(0))
+    items = _items_per_key(df, on, by, fold).withColumn("_spread", spread)
+    there = _rows_per_key(other, other_on).withColumn("_met", F.lit(0).cast("bigint"))
     missing = F.when(F.col("_m").isNull(), F.col("_n")).otherwise(F.lit(0))
     return (
-        items.join(there, _same_key(items, there, on), "left")
+        items.join(there, _same_key(items, there, on) & (items["_spread"] == there["_met"]), "left")
         .groupBy(*_groups(by))
         .agg(F.sum("_n").alias("n_items"), F.sum(missing).alias("n_missing"))
     )
@@ -83,18 +91,27 @@ def flag_rate(
     flags_on: str | Iterable[str] | None = None,
     fold: bool = True,
 ) -> DataFrame:
-    """Per group: item-and-flag rows joined on ``on``, and the total of each flag.
+    """Per group: item-and-flag rows joined on ``on`` (``n_flagged``), and the
+    total of each flag; a flag's rate is its total by ``n_flagged``.
 
     Equal to an inner join followed by sums, but the flags are totalled per key
     first and multiplied by the items' count, so a key frequent on both sides
-    does not make a row per pair. ``fold`` is as in ``coverage_gap``.
+    does not make a row per pair. ``fold`` is as in ``coverage_gap``; items are
+    not folded where a flag is a decimal, as a count times a decimal would lose
+    digits. Totals have the type of a plain sum. Items of unknown key are left
+    out before anything is shuffled.
     """
     on, by, names = as_list(on), as_list(by), as_list(names)
     flags_on = on if flags_on is None else as_list(flags_on)
     if len(flags_on) != len(on):
         raise ValueError(f"{len(on)} key columns against {len(flags_on)}")
     reject_clash(by, ["n_flagged", *names])
-    items = _items_per_key(df, on, by, fold)
+    reject_clash(names, ["n_flagged"])
+    if len({c.lower() for c in names}) < len(names):
+        raise ValueError(f"flags {names} repeat")
+    kinds = [flags.schema[c].dataType for c in names]
+    exact = [isinstance(k, T.DecimalType) for k in kinds]
+    items = _items_per_key(df.where(_known(on)), on, by, fold and not any(exact))
     sums = {f"_flag{i}": F.sum(c) for i, c in enumerate(names)}
     per_key = _rows_per_key(flags, flags_on, sums)
     return (
@@ -103,8 +120,10 @@ def flag_rate(
         .agg(
             F.sum(F.col("_n") * F.col("_m")).alias("n_flagged"),
             *[
-                F.sum(F.col("_n") * F.col(f"_flag{i}")).alias(c)
-                for i, c in enumerate(names)
+                F.sum(F.col(f"_flag{i}") if any(exact) else F.col("_n") * F.col(f"_flag{i}"))
+                .cast(T.DecimalType(min(38, kind.precision + 10), kind.scale) if own else per_key.schema[f"_flag{i}"].dataType)
+                .alias(c)
+                for i, (c, kind, own) in enumerate(zip(names, kinds, exact))
             ],
         )
     )

@@ -29,13 +29,16 @@ class Holdings:
     ) -> Holdings:
         """Index ``df`` at ``path``, or in a new folder that all executors share."""
         path = path or shared_folder(df.sparkSession, "holdings")
-        overlap.content_index(df, part, content).write.parquet(path)
+        overlap.content_index(df, part, content).sortWithinPartitions("part").write.parquet(path)
         return cls.open(df.sparkSession, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Holdings:
         """The index written at ``path`` before."""
-        return cls(spark.read.parquet(path))
+        index = spark.read.parquet(path)
+        if not {"part", "copies"} < set(index.columns) or not key_names(index.columns):
+            raise ValueError(f"{path} is no index of holdings: it has {index.columns}")
+        return cls(index)
 
     def summary(self) -> DataFrame:
         """See ``overlap_summary``."""
@@ -47,7 +50,7 @@ class Holdings:
 
     def shared_with(self, anchors: Iterable) -> DataFrame:
         """See ``overlap_with``."""
-        return overlap.shared_with(self.index, anchors)
+        return overlap.shared_with(self.index, anchors, stored=True)
 
     def copies(self) -> DataFrame:
         """Contents held more than once, with their copies and holders."""
@@ -56,4 +59,6 @@ class Holdings:
             .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n_parts"))
             .where("copies > 1")
         )
+        for key in key_names(self.index.columns):  # unknown contents are copies of nothing
+            repeated = repeated.where(F.col(key).isNotNull())
         return labelled(repeated)

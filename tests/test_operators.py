@@ -152,21 +152,25 @@ def test_whole_texts_count(spark):
 def holdings(rows):
     held = defaultdict(Counter)
     for r in rows:
-        if r[1] is not None and r[3] is not None:
-            held[r[1]][r[3]] += 1
+        held[r[1]][r[3]] += 1
     return held
 
 
+def known(texts):
+    return {t: n for t, n in texts.items() if t is not None}
+
+
 def want_summary(rows):
     held = holdings(rows)
     want = set()
     for part, texts in held.items():
         others = set().union(*(held[p] for p in held if p != part))
+        n_items, texts = sum(texts.values()), known(texts)
         sole = set(texts) - others
         want.add(
             (
                 part,
-                sum(texts.values()),
+                n_items,
                 len(texts),
                 len(sole),
                 sum(texts[t] for t in sole),
@@ -179,7 +183,7 @@ def want_summary(rows):
 def want_shared(rows, anchors):
     held = holdings(rows)
     pairs = {
-        (a, b, len(held[a].keys() & held[b].keys()))
+        (a, b, len(known(held[a]).keys() & held[b].keys()))
         for a in anchors
         for b in list(held)
         if a != b and a in held
@@ -190,7 +194,7 @@ def want_shared(rows, anchors):
 def want_depth(rows):
     held = holdings(rows)
     found = defaultdict(lambda: [0, 0])
-    for text in set().union(*held.values()):
+    for text in set().union(*held.values()) - {None}:
         n = sum(text in texts for texts in held.values())
         found[n][0] += 1
         found[n][1] += sum(texts[text] for texts in held.values())
@@ -205,7 +209,7 @@ def test_overlap(df, rows):
     assert result(got, *SUMMARY) == want_summary(rows)
     got = sm.overlap_depth(df, "part", "text")
     assert result(got, "n_parts", "n_contents", "n_items") == want_depth(rows)
-    anchors = ["p0", "p3", "nowhere"]
+    anchors = ["p0", "p3", "nowhere", None]
     got = sm.overlap_with(df, "part", "text", anchors)
     assert result(got, "anchor", "other", "n_shared") == want_shared(rows, anchors)
 
@@ -223,11 +227,11 @@ def test_holdings(spark, df, rows, reopened, tmp_path):
         held = sm.Holdings.write(df, "part", "text")
     assert result(held.summary(), *SUMMARY) == want_summary(rows)
     assert result(held.depth(), "n_parts", "n_contents", "n_items") == want_depth(rows)
-    got = held.shared_with(["p1"])
-    assert result(got, "anchor", "other", "n_shared") == want_shared(rows, ["p1"])
+    got = held.shared_with(["p1", None])
+    assert result(got, "anchor", "other", "n_shared") == want_shared(rows, ["p1", None])
     want = set()
     for (text,), g in grouped(rows, 3).items():
-        parts = [r[1] for r in g if r[1] is not None]
+        parts = [r[1] for r in g]
         if text is not None and len(parts) > 1:
             want.add((sha(text), len(parts), len(set(parts))))
     assert result(held.copies(), "text_sha256", "copies", "n_parts") == want
@@ -394,3 +398,27 @@ def test_report_columns_are_protected(df):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_flag_rate_keeps_every_digit_of_decimals(spark):
+    items = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "k int, g string")
+    flags = spark.sql("select 1 as k, cast(0.12345678 as decimal(18,8)) as cost")
+    got = sm.flag_rate(items, flags, "k", "g", "cost")
+    plain = items.join(flags, "k").groupBy("g").agg({"cost": "sum"}).first()
+    assert got.first().cost == plain[1] and dict(got.dtypes)["cost"] == "decimal(28,8)"
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, 1)], "n_items int, n_flagged int")
+    with pytest.raises(ValueError):
+        sm.concentration_curve(df, "n_items")
+    with pytest.raises(ValueError):
+        sm.flag_rate(df, df, "n_items", "n_items", "n_flagged")
+    with pytest.raises(ValueError):
+        sm.flag_rate(df, df, "n_flagged", "n_flagged", ["n_items", "n_items"])
+
+
+def test_open_refuses_what_is_no_index(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        sm.Holdings.open(spark, str(tmp_path / "t"))

@@ -10,7 +10,7 @@ import shelfmark as sm
 FOLDER = "/root/testdata/sf0.001"
 # scans that reading each given table once makes
 SCANS = {
-    name: 2 if name.startswith(("coverage_gap", "flag_rate")) else 1
+    name: 2 if "coverage_gap" in name or "flag_rate" in name else 1
     for name in contract.own_queries()
 }
 
@@ -30,7 +30,7 @@ def final(df):
 def test_one_scan_and_no_cross_join(spark, name):
     plan = final(contract.queries()[name](spark, FOLDER))
     # holdings read the index once per use of it
-    most = 2 if name == "holdings_summary_documents" else SCANS[name]
+    most = 2 if name.startswith("holdings_s") else SCANS[name]
     assert plan.count("FileScan") <= most
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval"):
         assert unwanted not in plan
@@ -39,7 +39,7 @@ def test_one_scan_and_no_cross_join(spark, name):
 @pytest.mark.parametrize("name", list(contract.own_queries()))
 def test_only_bounded_rows_meet_in_one_task(spark, name):
     plan = physical(contract.queries()[name](spark, FOLDER))
-    if name.startswith("concentration") or name == "growth_orders_month":
+    if name.startswith("concentration") or name in ("growth_orders_month", "growth_orders_week"):
         # the different counts; the years
         assert plan.count("SinglePartition") == 1
     else:

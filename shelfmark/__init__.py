@@ -1,8 +1,9 @@
 """Reports about collections of items held in Spark DataFrames.
 
 A collection is a DataFrame with one row per item: attribute columns to group
-by, optionally a content column (what the item is) and a time column. Every
-function takes DataFrames and returns a lazy DataFrame.
+by, optionally a content column (what the item is) and a time column. Reports
+take DataFrames and return lazy DataFrames; ``Holdings.write`` runs a job and
+``append_arrivals`` starts a query.
 """
 
 from shelfmark.operators.composition import composition, share

@@ -1,0 +1,429 @@
+"""The operators for training data against brute force on small tables, with
+nulls, empty and long texts, repeated rows, ties, clashing columns, no rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from shelfmark.llm import (
+    chat,
+    counts,
+    decontaminate,
+    html,
+    licences,
+    packing,
+    quality,
+    queries,
+    secrets,
+    simhash,
+    suffixes,
+)
+from shelfmark.llm.components import components
+from shelfmark.sources.shared import shared_folder
+
+SMALL = "/root/testdata/sf0.001"
+ODD = [
+    (None, None), (1, ""), (2, " \n\t"), (3, "one"), (3, "one"), (4, "a b c d e f g h i j k l m n"),
+    (5, "x " * 5000), (6, "ÀÉ ß 漢字 \U0001f600 " * 40), (7, "A b C d e f g h i j K l m n"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "src", "n", 0) for i, t in ODD]
+    schema = "doc_id bigint, text string, source string, n_words string, kept int"
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def texts_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+# --- 1 quality -----------------------------------------------------------------
+
+
+def brute_signals(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    covered = {
+        k + j
+        for k in range(len(words) - 4)
+        if windows[tuple(words[k : k + 5])] > 1
+        for j in range(5)
+    }
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return (len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered))
+
+
+def test_signals(documents, odd):
+    for df in (documents, odd):
+        got = df.select("text", quality.signals("text").alias("q")).collect()
+        for r in got:
+            assert tuple(r.q)[:5] == brute_signals(r.text)
+
+
+def test_host_verdicts(spark):
+    bad = [("bad", "x", 1)] * 40
+    good = [(f"h{k % 8}", "a b c d e f g h i j k l", 0) for k in range(400)]
+    few = [("few", "x", 1)] * 2 + [(None, "x", 1)] * 3
+    df = spark.createDataFrame(bad + good + few, "source string, text string, kept int")
+    df = df.withColumn("q", quality.signals("text"))
+    verdicts = {r.source: r.host_rejected for r in quality.host_quality(df).collect()}
+    assert verdicts["bad"] and not verdicts["h1"] and not verdicts[None]
+    assert quality.host_quality(df.where("false")).count() == 0
+
+
+def test_host_rejects_its_good_documents_too(spark):
+    rows = [("bad", "x")] * 40 + [("bad", "a b c d e f g h i j k l")]
+    rows += [("good", "a b c d e f g h i j k l")] * 100
+    marked, kept = quality.judged(spark.createDataFrame(rows, "source string, text string"))
+    assert Counter(r.source for r in marked.where(kept).collect()) == {"good": 100}
+
+
+# --- 2 chat --------------------------------------------------------------------
+
+
+def test_chat_read_back(spark):
+    rows = [
+        (1, 0, "user", "<|im_end|>\\n\\ <|im_start|>"), (1, 1, "assistant", "a<"),
+        (2, 1, "assistant", "|>\n"), (2, 0, None, None), (None, None, "user", "x"),
+        (3, 0, "assistant", ""), (3, 1, "assistant", "\n"), (3, 1, "a\nb<|", "t"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    groups = defaultdict(list)
+    for conv, turn, role, text in rows:
+        groups[conv].append((-1 if turn is None else turn, role or "", text or ""))
+    assert set(got) == set(groups)
+    for conv, turns in groups.items():
+        own = "".join(f"{r}\n{t}\n" for _, r, t in sorted(turns))
+        loss = "".join(t for _, r, t in sorted(turns) if r == "assistant")
+        r = got[conv]
+        assert r.turns_sha256 == hashlib.sha256(own.encode()).hexdigest()
+        assert (r.loss_chars, r.rewritten_at) == (len(loss), -1)
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
+
+
+def test_template_that_rewrites_history():
+    def last_only(turns):
+        return "".join(t[:3] if k + 1 < len(turns) else t for k, (_, t) in enumerate(turns))
+
+    turns = [("user", "long text"), ("assistant", "answer")]
+    assert chat.located(last_only, turns)[2] == 1
+    assert chat.located(lambda ts: "".join(t for _, t in ts), turns)[1] == [(0, 9, 0, 9), (9, 15, 9, 15)]
+
+
+# --- 3 simhash -----------------------------------------------------------------
+
+
+def brute_print(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    hashes = [
+        xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42)
+        for k in range(max(1, len(words) - 3))
+    ]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, distance):
+    label = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= distance and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_simhash(documents, odd):
+    for df in (documents, odd):
+        rows = texts_of(df)
+        prints = [brute_print(t) for _, t in rows]
+        label = brute_components(prints, 4)
+        least = {}
+        for (i, _), root in zip(rows, label):
+            if i is not None:
+                least[root] = min(i, least.get(root, i))
+        want = Counter(
+            (i, f"{p:016x}", least.get(root)) for (i, _), p, root in zip(rows, prints, label)
+        )
+        assert Counter(map(tuple, simhash.simhash_components(df).collect())) == want
+
+
+def test_triples_lie_in_every_four_positions():
+    from itertools import combinations
+
+    triples = [set(t) for t in simhash.position_triples()]
+    assert len(triples) == 20
+    assert all(any(t <= set(four) for t in triples) for four in combinations(range(8), 4))
+
+
+def test_hot_keys_give_the_same_components(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    near = [base ^ sum(1 << int(b) for b in rng.integers(0, 63, 3)) for _ in range(300)]
+    far = [int(x) for x in rng.integers(0, 1 << 62, 300)]
+    df = spark.createDataFrame([(x,) for x in {*near, *far}], "fp bigint")
+    cold = {tuple(r) for r in components(simhash.links(df)).collect()}
+    hot = {tuple(r) for r in components(simhash.links(df, most_in_key=20)).collect()}
+    assert cold == hot and len(cold) > 200
+
+
+# --- 4 suffixes ----------------------------------------------------------------
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[k : k + length] for t in raw for k in range(len(t) - length + 1))
+    for t in raw:
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        left = bytes(b for b, g in zip(t, gone) if not g)
+        yield len(t), sum(gone), spans, hashlib.sha256(left).hexdigest()
+
+
+@pytest.mark.parametrize("most_sorted", [2000, 1])
+def test_repeats(spark, odd, most_sorted):
+    rng = np.random.default_rng(1)
+    words = ["ab", "é", "aa", "bé a", "b"]
+    base = [" ".join(rng.choice(words, 200)) for _ in range(3)]
+    rows = texts_of(odd) + [(9, "z" * 199), (10, "y" * 200), (11, "y" * 200), (12, "ab" * 300)]
+    for k in range(30):
+        text, at = base[k % 3], int(rng.integers(300))
+        rows.append((20 + k, " ".join(rng.choice(words, 30)) + text[at : at + int(rng.integers(400))]))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = Counter((i, *r) for (i, _), r in zip(rows, brute_repeats([t for _, t in rows], 200)))
+    got = suffixes.remove_repeats(df, most_sorted=most_sorted)
+    assert Counter(map(tuple, got.collect())) == want
+    if most_sorted == 1:
+        assert suffixes.remove_repeats(df.where("false")).count() == 0
+
+
+def test_long_texts_are_parsed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, 9000, dtype=np.uint8).tobytes()
+    monkeypatch.setattr(suffixes, "BUFFER", 1 << 12)
+    found = suffixes.phrases([text, b"", text[:5000]], 200, 64)
+    for own, size in zip(found, (9000, 0, 5000)):
+        places = [at + k for _, _, at, n in own for k in range(n)]
+        assert sorted(places) == list(range(max(0, size - 199)))
+
+
+# --- 5 decontamination ---------------------------------------------------------
+
+
+def brute_contamination(docs, items):
+    def words(text):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+    windows = defaultdict(set)
+    for i, text in items:
+        own = words(text)
+        for k in range(max(1, len(own) - 12) if own else 0):
+            windows[tuple(own[k : k + 13])].add(i)
+    for i, text in docs:
+        own, hit, held = words(text), set(), set()
+        for size in {len(w) for w in windows}:
+            for k in range(len(own) - size + 1):
+                found = windows.get(tuple(own[k : k + size]))
+                if found:
+                    hit |= set(range(k, k + size))
+                    held |= found
+        names = ",".join(sorted(str(x) for x in held))
+        digest = hashlib.sha256(names.encode()).hexdigest()
+        yield i, len(own), len(hit), len(held), digest, bool(hit) and 20 * len(hit) >= len(own)
+
+
+def test_contamination(spark, documents, odd):
+    items = [(k, t) for k, t in enumerate(["one", "", None, "A-b c/d e f g h i j k l m n", "漢字"])]
+    items += [(7, "x " * 14), (8, "x " * 14)]
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    got = decontaminate.contamination(odd.select("doc_id", "text"), benchmark).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_contamination(texts_of(odd), items))
+    real = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items = [tuple(r) for r in real.select("item_id", "text").collect()]
+    got = decontaminate.contamination(documents.select("doc_id", "text"), real).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_contamination(texts_of(documents), items))
+    none = decontaminate.contamination(odd.select("doc_id", "text"), benchmark.where("false"))
+    assert none.where("n_hit > 0").count() == 0 and none.count() == len(ODD)
+
+
+# --- 6 html --------------------------------------------------------------------
+
+
+def test_pages_of_the_table(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    for r in queries.op6_html_text(spark, SMALL).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)
+        from html import unescape
+
+        want = " ".join(unescape(re.sub(r"<[^>]*>", " ", article[1])).split())
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_layouts_held_out(spark):
+    import random
+
+    table = spark.read.parquet(f"{SMALL}/pages.parquet").orderBy("page_id")
+    pages = [r.html for r in table.collect()]
+    tagger = html.Crf(2).fit(*html.training_pages(pages[:30], 4))
+    right = total = 0
+    for k, page in enumerate(pages[30:]):
+        blocks = html.leaf_blocks(page)
+        own = html.marked_labels(blocks)
+        main = [(b.above[-1][0], b.text) for b, y in zip(blocks, own) if y][:12]
+        other = [b.text for b, y in zip(blocks, own) if not y]
+        laid = html.leaf_blocks(html.laid_out(main, other, random.Random(99_000 + k)))
+        found = tagger.decode(html.features(laid))
+        right += sum(a == (b.gold == "main") for a, b in zip(found, laid))
+        total += len(laid)
+    assert right / total > 0.95
+
+
+def test_odd_pages(spark):
+    tagger = html.Crf(2)
+    assert html.main_text(None, tagger) == "" and html.main_text("", tagger) == ""
+    blocks = html.leaf_blocks("<p>a &lt; b<p>c\n\n d<script>x='</p>'</script><li>e<li>f<a href='>'>g</a> < h")
+    assert [b.text for b in blocks] == ["a < b", "c d", "e", "fg < h"]
+    df = spark.createDataFrame([(1, None, "t"), (2, "", "t")], "page_id int, html string, text string")
+    assert [r[0] for r in html.extract(df.drop("text"), tagger).select("text").collect()] == ["", ""]
+    assert html.fit_tagger(df.where("false")).scores == {}
+
+
+# --- 7 packing and 8 counts ----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [2048, 50])
+def test_packing(documents, odd, tokenizer, size):
+    for df in (documents, odd.where("doc_id is null or doc_id != 3")):
+        ids = {i: [*tokenizer(t), 0] for i, t in texts_of(df)}
+        rows = packing.best_fit_packing(packing.token_pieces(df, size=size), size, per_part=40)
+        rows = rows.collect()
+        sequences, pieces = defaultdict(list), defaultdict(list)
+        for r in rows:
+            part = ids[r.id][r.start : r.start + r.length]
+            assert len(part) == r.length
+            assert zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+            sequences[r.sequence_id].append((r.offset, r.length))
+            pieces[r.id].append((r.piece, r.start, r.length))
+        for i, own in pieces.items():
+            own.sort()
+            assert [p for p, _, _ in own] == list(range(len(own)))
+            assert sum(n for _, _, n in own) == len(ids[i])
+            assert all(n == size for _, _, n in own[1:])
+        for own in sequences.values():
+            at = 0
+            for offset, n in sorted(own):
+                assert offset == at
+                at += n
+            assert at <= size
+        bound = packing.lower_bound(np.array([r.length for r in rows]), size)
+        assert len(sequences) <= bound * 1.02 + 1
+        assert set(pieces) == set(ids)
+    assert packing.best_fit_packing(packing.token_pieces(odd.where("false"))).count() == 0
+
+
+def test_lower_bound_is_one():
+    assert packing.lower_bound(np.array([6, 6, 6, 4, 4, 4]), 10) == 3
+    assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3
+    assert packing.lower_bound(np.array([], int), 10) == 0
+
+
+def test_ids_of_words_are_those_of_texts(documents, odd, tokenizer):
+    from shelfmark.llm.tokens import encoder
+
+    more = ["a  b", " a", "a ", "a \n b", "a\n b.  c", "it's, 's  ", "x.\t y,  z. ", "<|endoftext|> a"]
+    for text in [t or "" for _, t in texts_of(documents) + texts_of(odd)] + more:
+        assert np.frombuffer(encoder().text(text), "<u4").tolist() == tokenizer(text)
+
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_counts(spark, documents, odd, tokenizer, block):
+    for df in (documents, odd):
+        path = shared_folder(spark, "tokens")
+        counts.write_token_files(df, path, docs_per_file=50)
+        got = Counter(r.n_tokens for r in counts.token_counts(spark, path, block=block).collect())
+        assert got == Counter(len(tokenizer(t)) for _, t in texts_of(df))
+
+
+# --- 9 licences ----------------------------------------------------------------
+
+
+def test_licences(spark):
+    mit = "Copyright (c) 2020 A. Body\n\n" + licences._MIT.upper().replace(",", " ,")
+    bsd = "# All rights reserved.\n" + (licences._BSD_TWO + licences._BSD_END).replace("\n", "\n# ")
+    rows = [(1, mit, "x"), (2, bsd, "x"), (3, None, "x"), (4, "", "x"), (5, licences._MIT + " more", "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, license string")
+    got = {r.doc_id: r.license for r in licences.licence_scan(df).collect()}
+    assert got == {1: "MIT", 2: "BSD-2-Clause", 3: None, 4: None, 5: None}
+    assert licences.licence_scan(df.where("false")).count() == 0
+
+
+# --- 10 secrets ----------------------------------------------------------------
+
+
+def test_base_spans(documents, odd):
+    assign = re.compile(
+        r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    )
+    more = ['API_KEY = "abcdefghijkl"', "token: abc", "x AKIA" + "B" * 14, "AKIAB", "0" * 15, "f" * 16]
+    for text in [t or "" for _, t in texts_of(documents) + texts_of(odd)] + more:
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert secrets.base_spans(text)[0] == sorted(want)
+
+
+def test_tagger_adds_and_base_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = secrets.fit_tagger(docs)
+    base, spans = secrets.scan_text("the key = 9f8G7h6J5k4L3m2N1b and token=abcdefabcdef1234", tagger, set())
+    assert base == [(33, 0, 55), (39, 2, 55)]  # both an assignment and hexadecimal
+    assert set(spans) == {*base, (10, 3, 28)}
+    assert secrets.scan_text("Plain words in 2024, call 555 1234.", tagger, set()) == ([], [])
+    text = "a token=abcdefabcdef1234 b"
+    assert secrets.redacted(text, secrets.scan_text(text, tagger, set())[1], "[s]") == "a [s] b"
+
+
+def test_scan_of_odd_rows(odd):
+    tagger = secrets.fit_tagger(odd)
+    rows = secrets.secret_scan(odd, tagger).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter(ODD)
+    assert secrets.secret_scan(odd.where("false"), tagger).count() == 0
+
+
+# --- registry ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_every_query_runs(spark, name):
+    df = queries.QUERIES[name](spark, SMALL)
+    assert df.count() > 0

@@ -8,9 +8,12 @@ instead of spans. The place of the text inside a turn is found the same way:
 the turn is rendered with two texts of one letter each, which agree in what is
 before the text and in what is after it.
 
-Rendering every prefix takes time that grows with the square of a
-conversation's turns. A conversation is formatted by one task, which holds its
-turns and its output and no other conversation's.
+Rendering every prefix takes time that grows with the square of the turns, and
+a conversation may hold a third of all turns. Turns are therefore dealt by
+ranges of conversation and turn, so that many tasks share a long conversation,
+and are rendered in blocks of a bounded number. For that each turn has to come
+out as it does alone, which is tested for each; a turn that does not is reported
+like rewritten history. Templates that look back are given whole conversations.
 
 Defined results: a null role or text is empty; a null conversation id is one
 conversation; a null turn comes first, and equal turns are in order of role and
@@ -22,15 +25,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
+BLOCK = 64  # turns that are rendered together
+BLOCK_CHARS = 1 << 20  # characters after which a block ends
+
 # fixed values of the format
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
@@ -72,15 +79,20 @@ def agreement(a: str, b: str, start: int = 0) -> int:
     return low
 
 
-def located(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], int]:
+def located(
+    template: Template, turns: Turns, alone: bool = False
+) -> tuple[str, list[tuple[int, int, int, int]], int]:
     """The output; per turn the bounds of its span and of its text inside; and
-    the first turn at which the template rewrites history, or -1."""
+    the first turn at which the template rewrites history, or -1. With ``alone``
+    also a turn that comes out otherwise when it is the only one is reported."""
     before, spans = template([]), []
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
         one, other = (template([*turns[:k], (role, probe)]) for probe in "XY")
         if not (now.startswith(before) and one.startswith(before)):
             return template(turns), [], k
+        if alone and now[len(before) :] != template([(role, text)]):
+            return template(turns), [], k
         head = agreement(one, other, len(before))
         tail = agreement(one[head:][::-1], other[head:][::-1])
         stop = len(now) - tail
@@ -97,15 +109,40 @@ for _bound in _BOUNDS:
     _SPANS.add(_bound, "long")
 FORMATTED = (
     T.StructType()
+    .add("whole", "boolean")
     .add("n_turns", "long")
     .add("formatted", "string")
     .add("spans", T.ArrayType(_SPANS))
     .add("rewritten_at", "long")
 )
-_SPAN = pa.struct(
-    [("role", pa.string())]
-    + [(c, pa.int64()) for c in _BOUNDS]
-)
+
+
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema)], names=schema.names
+    )
+
+
+def _blocks(
+    batches: Iterator[pa.RecordBatch], block: int | None
+) -> Iterator[tuple[object, Turns, bool]]:
+    """The turns of sorted rows in blocks of one conversation each, and whether
+    a block is surely all of its conversation: the first and the last one of a
+    task may go on in another, unless conversations are not split at all."""
+    id, held, chars, alone, opening = None, [], 0, True, True
+    for batch in batches:
+        for value, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if held and value != id:
+                yield id, held, block is None or (alone and not opening)
+                held, chars, alone, opening = [], 0, True, False
+            elif held and block is not None and (len(held) >= block or chars > BLOCK_CHARS):
+                yield id, held, False
+                held, chars, alone = [], 0, False
+            id = value
+            held.append((role or "", text or ""))
+            chars += len(held[-1][1])
+    if held:
+        yield id, held, block is None
 
 
 def format_conversations(
@@ -115,54 +152,47 @@ def format_conversations(
     role: str = "role",
     text: str = "text",
     template: Template = chat_template,
+    block: int | None = BLOCK,
 ) -> DataFrame:
-    """Per conversation its id and the columns of ``FORMATTED``; ``rewritten_at``
-    is -1 for a template that leaves history as it was."""
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            yield from zip(batch.column(0), batch.column(1), batch.column(2))
-
-    def made(kind: pa.DataType, done: list) -> pa.RecordBatch:
-        ids, numbers, outputs, spans, rewritten = zip(*done)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, kind),
-                pa.array(numbers, pa.int64()),
-                pa.array(outputs, pa.string()),
-                pa.array(spans, pa.list_(_SPAN)),
-                pa.array(rewritten, pa.int64()),
-            ],
-            names=["id", *FORMATTED.names],
-        )
+    """Per part of a conversation its id, ``part`` (parts follow each other in
+    this order), and the columns of ``FORMATTED``: ``whole`` says that it is
+    known to be the only part, bounds and ``rewritten_at`` (-1 for a template
+    that leaves history as it was) are counted within the part.
+
+    A part has at most ``block`` turns. With None conversations are rendered
+    whole, for templates that look back: in one task each, in time that grows
+    with the square of its turns.
+    """
+    id_type = turns.schema[conversation].dataType
+    schema = T.StructType([T.StructField("id", id_type), *FORMATTED.fields])
+    arrow = to_arrow_schema(schema)
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, held, kind = [], 0, None
-        # rows are sorted, so a conversation's are next to each other
-        for id, own in groupby(rows(batches), key=lambda r: r[0].as_py()):
-            conv = []
-            for value, r, t in own:
-                kind = value.type
-                conv.append((r.as_py() or "", t.as_py() or ""))
-            output, spans, rewritten = located(template, conv)
-            named = [
-                dict(zip(_SPANS.names, (r, *span))) for (r, _), span in zip(conv, spans)
-            ]
-            done.append((id, len(conv), output, named, rewritten))
+        done, held = [], 0
+        for id, own, whole in _blocks(batches, block):
+            output, spans, rewritten = located(template, own, alone=block is not None)
+            named = [dict(zip(_SPANS.names, (r, *span))) for (r, _), span in zip(own, spans)]
+            done.append((id, whole, len(own), output, named, rewritten))
             held += len(output)
             if held > 1 << 24:
-                yield made(kind, done)
+                yield _batch(list(zip(*done)), arrow)
                 done, held = [], 0
         if done:
-            yield made(kind, done)
+            yield _batch(list(zip(*done)), arrow)
 
-    schema = T.StructType([T.StructField("id", turns.schema[conversation].dataType)])
+    if block is None:
+        dealt = turns.repartition(conversation)
+    else:
+        dealt = turns.repartitionByRange(conversation, turn)
     return (
-        turns.repartition(conversation)
-        .sortWithinPartitions(conversation, turn, role, text)
+        dealt.sortWithinPartitions(conversation, turn, role, text)
         .select(conversation, role, text)
-        .mapInArrow(formatted, T.StructType([*schema.fields, *FORMATTED.fields]))
-        .withColumnRenamed("id", conversation)
+        .mapInArrow(formatted, schema)
+        .select(
+            F.col("id").alias(conversation),
+            F.monotonically_increasing_id().alias("part"),
+            *FORMATTED.names,
+        )
     )
 
 
@@ -175,41 +205,102 @@ READ_BACK = (
 )
 
 
-def read_back(formatted: DataFrame, trained: str = "assistant") -> DataFrame:
-    """``formatted`` conversations without their output, but with digests of what
-    is read back from it: all turns, and the text under the loss mask, which
-    covers the texts of the turns of role ``trained``."""
-    kept = [c for c in formatted.columns if c not in ("formatted", "spans")]
-    first = len(kept)
+class Digests:
+    """What is read back from the parts of a conversation, one after another."""
+
+    def __init__(self):
+        self.n_turns = self.loss_chars = self.chars = 0
+        self.rewritten_at = -1
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, n_turns: int, rewritten_at: int, output: str, spans: list, trained: str) -> None:
+        for role, text in parse(output):
+            self.turns.update(f"{role}\n{text}\n".encode())
+        for s in spans:
+            if s["role"] == trained:
+                text = unescape(output[s["text_start"] : s["text_end"]])
+                self.loss_chars += len(text)
+                self.loss.update(text.encode())
+        if rewritten_at >= 0 and self.rewritten_at < 0:
+            self.rewritten_at = self.n_turns + rewritten_at
+        self.n_turns += n_turns
+        self.chars += len(output)
+
+    def row(self) -> tuple:
+        return (
+            self.n_turns,
+            self.rewritten_at,
+            self.turns.hexdigest(),
+            self.loss_chars,
+            self.loss.hexdigest(),
+            self.chars,
+        )
+
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_back(
+    formatted: DataFrame, conversation: str = "conv_id", trained: str = "assistant"
+) -> DataFrame:
+    """Per conversation of ``formatted`` parts: ``n_turns``, ``rewritten_at`` and
+    digests of what is read back from the output: all turns, and the text under
+    the loss mask, which covers the texts of the turns of role ``trained``.
+
+    Whole conversations are read back where they are. A digest of several parts
+    has to see them in order, in one task; it holds a part at a time, and its
+    time grows with the text.
+    """
+    id_field = T.StructField("id", formatted.schema[conversation].dataType)
+    results = T.StructType().add("n_turns", "long").add("rewritten_at", "long")
+    results = T.StructType([*results.fields, *READ_BACK.fields])
+    part = [formatted.schema[c] for c in ("part", "whole")]
+    text = [formatted.schema[c] for c in ("formatted", "spans")]
+    looked = T.StructType([id_field, *part, *results.fields, *text])
+    final = T.StructType([id_field, *results.fields])
+    looked_arrow, final_arrow = to_arrow_schema(looked), to_arrow_schema(final)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for output, spans in zip(batch.column(first), batch.column(first + 1)):
-                output = output.as_py()
-                turns = "".join(f"{role}\n{text}\n" for role, text in parse(output))
-                loss = "".join(
-                    unescape(output[s["text_start"] : s["text_end"]])
-                    for s in spans.as_py()
-                    if s["role"] == trained
-                )
-                found.append(
-                    (
-                        hashlib.sha256(turns.encode()).hexdigest(),
-                        len(loss),
-                        hashlib.sha256(loss.encode()).hexdigest(),
-                        len(output),
-                    )
+            rows = []
+            for id, part, whole, n, rewritten, output, spans in zip(
+                *(batch.column(k).to_pylist() for k in range(batch.num_columns))
+            ):
+                if whole:
+                    own = Digests()
+                    own.add(n, rewritten, output, spans, trained)
+                    rows.append((id, part, whole, *own.row(), None, None))
+                else:
+                    rows.append((id, part, whole, n, rewritten, *[None] * 4, output, spans))
+            if rows:
+                yield _batch(list(zip(*rows)), looked_arrow)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, open_parts = None, None
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                id, _, whole, *known, output, spans = (
+                    batch.column(c)[k].as_py() for c in range(batch.num_columns)
                 )
-            columns = zip(*found) if found else [()] * 4
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(k) for k in range(first)),
-                    *(pa.array(c, kind) for c, kind in zip(columns, kinds)),
-                ],
-                names=[*kept, *READ_BACK.names],
-            )
-
-    schema = T.StructType([*[formatted.schema[c] for c in kept], *READ_BACK.fields])
-    return formatted.select(*kept, "formatted", "spans").mapInArrow(digests, schema)
+                if open_parts and (whole or id != name):
+                    rows.append((name, *open_parts.row()))
+                    open_parts = None
+                if whole:
+                    rows.append((id, *known))
+                    continue
+                name, open_parts = id, open_parts or Digests()
+                open_parts.add(*known[:2], output, spans, trained)
+            if rows:
+                yield _batch(list(zip(*rows)), final_arrow)
+        if open_parts:
+            yield _batch([[v] for v in (name, *open_parts.row())], final_arrow)
+
+    return (
+        formatted.select(
+            F.col(conversation).alias("id"),
+            "part", "whole", "n_turns", "rewritten_at", "formatted", "spans",
+        )
+        .mapInArrow(look, looked)
+        .repartition("id")
+        .sortWithinPartitions("id", "part")
+        .mapInArrow(together, final)
+        .withColumnRenamed("id", conversation)
+    )

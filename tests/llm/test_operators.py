@@ -96,14 +96,19 @@ def test_host_rejects_its_good_documents_too(spark):
 # --- 2 chat --------------------------------------------------------------------
 
 
-def test_chat_read_back(spark):
+@pytest.mark.parametrize("block", [None, 1, 2, chat.BLOCK])
+def test_chat_read_back(spark, block):
     rows = [
         (1, 0, "user", "<|im_end|>\\n\\ <|im_start|>"), (1, 1, "assistant", "a<"),
         (2, 1, "assistant", "|>\n"), (2, 0, None, None), (None, None, "user", "x"),
         (3, 0, "assistant", ""), (3, 1, "assistant", "\n"), (3, 1, "a\nb<|", "t"),
-    ]
+    ] + [(9, k, "assistant" if k % 2 else "user", f"turn {k} \\") for k in range(300)]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    formatted = chat.format_conversations(df, block=block)
+    assert block is None or formatted.agg({"n_turns": "max"}).first()[0] <= block
+    rows_back = chat.read_back(formatted).collect()
+    got = {r.conv_id: r for r in rows_back}
+    assert len(got) == len(rows_back)
     groups = defaultdict(list)
     for conv, turn, role, text in rows:
         groups[conv].append((-1 if turn is None else turn, role or "", text or ""))
@@ -113,7 +118,8 @@ def test_chat_read_back(spark):
         loss = "".join(t for _, r, t in sorted(turns) if r == "assistant")
         r = got[conv]
         assert r.turns_sha256 == hashlib.sha256(own.encode()).hexdigest()
-        assert (r.loss_chars, r.rewritten_at) == (len(loss), -1)
+        assert (r.n_turns, r.loss_chars, r.rewritten_at) == (len(turns), len(loss), -1)
+        assert r.formatted_chars == len(chat.chat_template([t[1:] for t in sorted(turns)]))
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
@@ -127,6 +133,19 @@ def test_template_that_rewrites_history():
     assert chat.located(lambda ts: "".join(t for _, t in ts), turns)[1] == [(0, 9, 0, 9), (9, 15, 9, 15)]
 
 
+def test_turns_that_look_back_are_reported_in_blocks(spark):
+    def numbered(turns):
+        return "".join(f"<{k}>{t}" for k, (_, t) in enumerate(turns))
+
+    rows = [(c, k, "user", "t") for c in range(40) for k in range(c % 5 + 1)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    whole = chat.format_conversations(df, template=numbered, block=None).collect()
+    assert {r.rewritten_at for r in whole} == {-1} and all(r.whole for r in whole)
+    in_blocks = chat.read_back(chat.format_conversations(df, template=numbered)).collect()
+    assert {r.conv_id: r.rewritten_at >= 0 for r in in_blocks}[4]
+    assert not {r.conv_id: r.rewritten_at >= 0 for r in in_blocks}[0]
+
+
 # --- 3 simhash -----------------------------------------------------------------
 
 

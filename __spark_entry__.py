@@ -266,6 +266,15 @@ def arrivals_stream_events(spark, d):
     return sm.read_arrivals(spark, f"{folder}/counts", by="event_type")
 
 
+def arrivals_compacted_events(spark, d):
+    folder = shared_folder(spark, "arrivals")
+    sm.append_arrivals(
+        stream_table(spark, d, "events"), "ts", "15 minutes", f"{folder}/counts", f"{folder}/checkpoint"
+    ).awaitTermination()
+    sm.compact_arrivals(spark, f"{folder}/counts")
+    return sm.read_arrivals(spark, f"{folder}/counts")
+
+
 def arrivals_watermark_events(spark, d):
     # complete mode: every window comes out whole, the last ones too; each batch
     # rewrites the table, so the last one written is the result
@@ -387,6 +396,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             concentration_curve_lineitem,
             arrivals_events,
             arrivals_stream_events,
+            arrivals_compacted_events,
             arrivals_watermark_events,
             nulls_overlap_summary,
             nulls_overlap_with,
@@ -571,6 +581,11 @@ def own_sql() -> dict[str, str]:
                    time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS window_end,
                    event_type, count(*) AS n_items
             FROM events GROUP BY ALL""",
+        "arrivals_compacted_events": """
+            SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
+                   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
+                   count(*) AS n_items
+            FROM events GROUP BY ALL""",
         "arrivals_watermark_events": """
             SELECT window_start, window_start + INTERVAL '1 hour' AS window_end,
                    count(*) AS n_items

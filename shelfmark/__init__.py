@@ -14,12 +14,18 @@ from shelfmark.operators.growth import growth
 from shelfmark.operators.overlap import overlap_depth, overlap_summary, overlap_with
 from shelfmark.operators.profile import profile
 from shelfmark.plans.holdings import Holdings
-from shelfmark.streaming.arrivals import arrivals, append_arrivals, read_arrivals
+from shelfmark.streaming.arrivals import (
+    append_arrivals,
+    arrivals,
+    compact_arrivals,
+    read_arrivals,
+)
 
 __all__ = [
     "Holdings",
     "append_arrivals",
     "arrivals",
+    "compact_arrivals",
     "composition",
     "concentration",
     "concentration_curve",

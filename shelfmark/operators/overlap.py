@@ -37,7 +37,7 @@ def _known(index: DataFrame) -> Column:
 
 
 def overlap_with(
-    df: DataFrame, part: str, content: str | Iterable[str], anchors: Iterable
+    df: DataFrame, part: str, content: str | Iterable[str], anchors: Iterable | DataFrame
 ) -> DataFrame:
     """Contents that each part shares with each of the ``anchors``.
 
@@ -45,30 +45,41 @@ def overlap_with(
     folded before the join, and only the anchors' holdings are on its other
     side: the rows it makes are the holdings times the anchors at most. Pairs
     of parts the caller did not ask for are never formed, but with every part
-    as an anchor all pairs are asked for. None is the null part.
+    as an anchor all pairs are asked for. None is the null part. Many anchors are
+    better given as a DataFrame, whose first column names them.
     """
     return shared_with(content_index(df, part, content), anchors)
 
 
-def shared_with(index: DataFrame, anchors: Iterable, stored: bool = False) -> DataFrame:
+def _holdings_of(index: DataFrame, anchors: Iterable | DataFrame, stored: bool) -> DataFrame:
+    if isinstance(anchors, DataFrame):
+        named = anchors.select(F.col(anchors.columns[0]).alias("_named"))
+        return index.join(named, F.col("part").eqNullSafe(F.col("_named")), "left_semi")
+    anchors = list(anchors)
+    there = F.col("part") if stored else F.when(F.col("copies") > 0, F.col("part"))
+    asked = there.isin([a for a in anchors if a is not None])
+    if None in anchors:
+        asked = F.coalesce(asked, F.lit(True)) if stored else asked | there.isNull()
+    return index.where(asked)
+
+
+def shared_with(
+    index: DataFrame, anchors: Iterable | DataFrame, stored: bool = False
+) -> DataFrame:
     """``overlap_with`` on an index already made.
 
     On a ``stored`` index the anchors are looked up in the files; otherwise
     their filter stays above the aggregation, for the reason told in ``_known``.
     """
     keys = key_names(index.columns)
-    anchors = list(anchors)
-    there = F.col("part") if stored else F.when(F.col("copies") > 0, F.col("part"))
-    asked = there.isin([a for a in anchors if a is not None])
-    if None in anchors:
-        asked = F.coalesce(asked, F.lit(True)) if stored else asked | there.isNull()
     if stored:
         contents = F.lit(True)
         for key in keys:
             contents = contents & F.col(key).isNotNull()
     else:
         contents = _known(index)
-    anchored = index.where(asked & contents).select(F.col("part").alias("anchor"), *keys)
+    held = _holdings_of(index.where(contents), anchors, stored)
+    anchored = held.select(F.col("part").alias("anchor"), *keys)
     return (
         index.where(contents)
         .select("part", *keys)

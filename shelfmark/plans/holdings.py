@@ -48,7 +48,7 @@ class Holdings:
         """See ``overlap_depth``."""
         return overlap.depth(self.index)
 
-    def shared_with(self, anchors: Iterable) -> DataFrame:
+    def shared_with(self, anchors: Iterable | DataFrame) -> DataFrame:
         """See ``overlap_with``."""
         return overlap.shared_with(self.index, anchors, stored=True)
 

@@ -214,6 +214,17 @@ def test_overlap(df, rows):
     assert result(got, "anchor", "other", "n_shared") == want_shared(rows, anchors)
 
 
+def test_anchors_of_a_table(spark, df):
+    # named twice, one of them no part at all
+    names = [r[0] for r in df.select("part").distinct().collect()][:2] + [None]
+    table = spark.createDataFrame([(n, 1) for n in [*names, names[0], "nobody"]], "name string, x int")
+    listed = sm.overlap_with(df, "part", "text", names)
+    assert sorted(map(repr, sm.overlap_with(df, "part", "text", table).collect())) == sorted(
+        map(repr, listed.collect())
+    )
+    assert df.isEmpty() or listed.count() > 0
+
+
 def test_overlap_without_anchors_is_empty(df):
     assert sm.overlap_with(df, "part", "text", []).count() == 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.names import null_safe
 from shelfmark.llm.staging import staged
 
 
@@ -15,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     m = F.least("m", "u")
     return (
         both.where("v > u")
-        .join(least, F.col("u") == F.col("n"))
+        .join(least, F.col("u").eqNullSafe(F.col("n")))
         .select(F.col("v").alias("a"), m.alias("b"))
     )
 
@@ -24,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    tied = down.join(least, F.col("u") == F.col("n"))
+    tied = down.join(least, null_safe(down, least, [("u", "n")]))
     return (
         tied.where("v != m")
         .select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -39,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until the edges are stars around the roots. A step
     ties a node to one other, so the edges never become more; a node with very
-    many neighbours is a skewed join key, which adaptive execution splits.
+    many neighbours is a skewed join key, and both joins are in the form that
+    adaptive execution splits.
     Every round is written to the shared folder.
     """
     edges = staged(edges.select("a", "b").where("a != b").distinct(), "edges")

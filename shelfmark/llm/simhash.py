@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.names import null_safe
 from shelfmark.llm.components import components
 from shelfmark.llm.staging import staged
 
@@ -186,20 +187,25 @@ def links(prints: DataFrame, distance: int = DISTANCE, most_in_key: int = MOST_I
         raise ValueError("the triples of positions are made for four differing bits")
     index = postings(prints)
     hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_in_key)
-    hot = hot.select("key")
+    hot = hot.select(F.col("key").alias("hot"))
+    in_hot = null_safe(index, hot, [("key", "hot")])
     cold = (
-        index.join(hot, "key", "left_anti")
+        index.join(hot, in_hot, "left_anti")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_pair_up(distance), "a bigint, b bigint")
     )
-    crowd = index.join(hot, "key", "left_semi").select("fp").distinct()
+    crowd = index.join(hot, in_hot, "left_semi").select("fp").distinct()
     masks = F.array(*[F.lit(m).cast("bigint") for m in flips(distance)])
     near = crowd.select("fp", F.explode(masks).alias("mask")).select(
         F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), "fp"
     )
-    least = near.groupBy("value").agg(F.min("fp").alias("b"))
-    stars = near.join(least, "value").where("fp != b").select(F.col("fp").alias("a"), "b")
+    least = near.groupBy(F.col("value").alias("of")).agg(F.min("fp").alias("b"))
+    stars = (
+        near.join(least, null_safe(near, least, [("value", "of")]))
+        .where("fp != b")
+        .select(F.col("fp").alias("a"), "b")
+    )
     return cold.union(stars)
 
 
@@ -212,7 +218,8 @@ def near_duplicates(printed: DataFrame, id: str = "doc_id", fp: str = "fp") -> D
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("_root")).select("fp", "component_id")
+    same = null_safe(rooted, least, [("root", "_root")])
+    return rooted.join(least, same).select("fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

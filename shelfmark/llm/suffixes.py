@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from shelfmark.functions.names import null_safe
 from shelfmark.llm.staging import staged
 
 LENGTH = 200
@@ -336,8 +337,11 @@ def remove_repeats(
         "parse",
     )
     placed = parsed.select("uid", F.inline("phrases"))
-    twice = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    placed = staged(placed.join(twice, "key"), "phrases")
+    twice = placed.groupBy(F.col("key").alias("shared")).agg(F.count(F.lit(1)).alias("n"))
+    twice = twice.where("n > 1").select("shared")
+    placed = staged(
+        placed.join(twice, null_safe(placed, twice, [("key", "shared")]), "left_semi"), "phrases"
+    )
 
     # the dictionary: every phrase with its occurrences and one place
     dictionary = staged(
@@ -347,8 +351,9 @@ def remove_repeats(
         ),
         "dictionary",
     )
-    mixed = dictionary.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
-    asked = dictionary.join(mixed.where("different > 1"), "key").select(
+    mixed = dictionary.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("different"))
+    mixed = mixed.where("different > 1")
+    asked = dictionary.join(mixed, null_safe(dictionary, mixed, [("key", "of")])).select(
         "key",
         "phrase",
         "n",
@@ -378,13 +383,13 @@ def remove_repeats(
     notes = (
         sure.union(asking)
         .join(owners, "uid")
-        .groupBy("d1", "d2")
+        .groupBy(F.col("d1").alias("n1"), F.col("d2").alias("n2"))
         .agg(F.collect_set("note").alias("notes"))
     )
     schema = _step_schema(docs.schema[id].dataType)
     arrow, look = to_arrow_schema(schema), _first_look(length)
     seen = staged(
-        texts.join(notes, ["d1", "d2"], "left")
+        texts.join(notes, null_safe(texts, notes, [("d1", "n1"), ("d2", "n2")]), "left")
         .select("id", "d1", "d2", "text", "notes")
         .mapInArrow(lambda batches: look(batches, arrow), schema),
         "seen",
@@ -394,10 +399,11 @@ def remove_repeats(
         _sorted_out(length), "key bigint, phrase bigint, low bigint, high bigint"
     )
     strings = seen.select(F.inline("strings")).distinct()
-    often = strings.groupBy("s1", "s2").agg(F.sum("n").alias("times")).where("times > 1")
+    often = strings.groupBy(F.col("s1").alias("o1"), F.col("s2").alias("o2"))
+    often = often.agg(F.sum("n").alias("times")).where("times > 1")
     counted = (
         strings.where("n = 1")
-        .join(often, ["s1", "s2"])
+        .join(often, null_safe(strings, often, [("s1", "o1"), ("s2", "o2")]))
         .select("key", "phrase", F.col("at").alias("low"), F.col("at").alias("high"))
     )
     more = (

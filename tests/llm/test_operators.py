@@ -25,7 +25,8 @@ from shelfmark.llm import (
     simhash,
     suffixes,
 )
-from shelfmark.llm.components import components
+from shelfmark.llm.components import _large_star, _small_star, components
+from shelfmark.llm.staging import staged
 from shelfmark.sources.shared import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
@@ -439,6 +440,38 @@ def test_scan_of_odd_rows(odd):
     assert secrets.secret_scan(odd.where("false"), tagger).count() == 0
 
 
+# --- plans ---------------------------------------------------------------------
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """As at scale: nothing is small enough, and a skewed partition is soon found."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_hot_nodes_and_texts_are_split(spark, no_broadcast):
+    rows = spark.range(200_000).selectExpr("id + 1 as a", "if(id % 3 = 0, 0, id) as b")
+    edges = staged(rows.repartition(8), "edges")
+    docs = edges.selectExpr("a as doc_id", "if(b = 0, 'same', cast(b as string)) as text")
+    known = spark.createDataFrame([("x", "same"), (None, None)], "license string, text string")
+    flipped = edges.selectExpr("-b as a", "-a as b")  # now the hot node is the largest
+    for df in (_large_star(edges), _small_star(flipped), licences.licence_scan(docs, known)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+
+
 # --- registry ------------------------------------------------------------------
 
 

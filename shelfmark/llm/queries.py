@@ -20,6 +20,7 @@ from shelfmark.llm import (
     secrets,
     simhash,
     suffixes,
+    trie,
 )
 from shelfmark.llm.sql import SQL  # noqa: F401
 from shelfmark.llm.staging import staged
@@ -102,6 +103,10 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_scan(docs, secrets.fit_tagger(docs)).drop("text")
 
 
+def op11_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, d, "conversations"))
+
+
 def op12_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = lines.without_shared_lines(table(spark, d, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_licence_scan": op9_licence_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_line_dedup": op12_line_dedup,
     "op13_filter_interactions": op13_filter_interactions,
 }

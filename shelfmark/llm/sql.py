@@ -179,10 +179,60 @@ INTERACTIONS = r"""
            (sum(removed) OVER (PARTITION BY part, o[step]))::bigint AS shapley
     FROM counted"""
 
+TRIE = """
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id
+                                ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+      FROM conversations),
+    -- a turn as text that tells it from any other, and the bytes of its own
+    own AS (
+      SELECT conv_id, list({'id': sha256(length(role) || ' ' || role || text), 'bytes': strlen(text)}
+                           ORDER BY k) AS turns
+      FROM t GROUP BY conv_id),
+    h AS (
+      SELECT *, xor(list_reduce(
+                  list_prepend(4294967295::bigint,
+                               list_transform(range(1, length(conv_id::varchar) + 1),
+                                              lambda i: ascii((conv_id::varchar)[i])::bigint)),
+                  lambda c, x: list_reduce(
+                    list_prepend(xor(c, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h
+      FROM own),
+    rebuilt AS (
+      SELECT h.conv_id, list_concat(coalesce(base.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+      FROM h LEFT JOIN own base ON base.conv_id = h.conv_id - h.conv_id % 5),
+    steps AS (
+      SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+    paths AS (
+      SELECT conv_id, n, depth, turns[depth].bytes AS bytes,
+             sha256(array_to_string(list_transform(turns[1:depth], lambda x: x.id), ' ')) AS node
+      FROM steps),
+    nodes AS (
+      SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+             coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+      FROM paths GROUP BY node, depth),
+    -- every node with each of those above it, which its smallest member passes
+    pairs AS (
+      SELECT up.node AS above, x.node, x.depth - up.depth AS distance, x.conv_id, x.n_convs, x.bytes
+      FROM nodes x JOIN paths up ON up.conv_id = x.conv_id AND up.depth <= x.depth),
+    children AS (SELECT above AS node, count(*) AS n FROM pairs WHERE distance = 1 GROUP BY above),
+    below AS (
+      SELECT above AS node, count(*) FILTER (children.n IS NULL) AS n_leaves,
+             sum((n_convs - 1) * coalesce(bytes, 0)) AS saved
+      FROM pairs LEFT JOIN children USING (node) GROUP BY above),
+    parents AS (
+      SELECT pairs.node, nodes.conv_id FROM pairs JOIN nodes ON nodes.node = above WHERE distance = 1)
+    SELECT nodes.conv_id, nodes.depth, parents.conv_id AS parent_conv_id, n_convs,
+           coalesce(children.n, 0) AS n_children, n_leaves, saved::bigint AS saved_tokens,
+           sha256(ends) AS ends_sha256
+    FROM nodes JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN parents USING (node)"""
+
 SQL: dict[str, str] = {
     "op1_host_quality": QUALITY,
     "op5_benchmark_decontamination": CONTAMINATION,
     "op9_licence_scan": LICENCES,
+    "op11_conversation_trie": TRIE,
     "op12_line_dedup": LINES,
     "op13_filter_interactions": INTERACTIONS,
 }

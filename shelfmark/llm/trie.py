@@ -358,13 +358,12 @@ def shard_nodes(
         parent_open = inner[e - 1][up] if e else np.ones(len(at), bool)
         orphan = np.full(len(at), e == 0)
 
-        # the conversations that end here are the first rows of the segment
-        ended = (lengths == e) & ~more
-        n_ends = np.add.reduceat(ended.astype(np.int64), at)
+        ended = np.flatnonzero((lengths == e) & ~more)  # rows of conversations that end here
+        low, high = (np.searchsorted(ended, x) for x in (at, np.append(at[1:], n)))
         own_ends: list[str | None] = [None] * len(at)
         chunks: list[tuple[int, str]] = []
-        for s in np.flatnonzero(real & (n_ends > 0)).tolist():
-            rows = conv[at[s] : at[s] + n_ends[s]]
+        for s in np.flatnonzero(real & (low < high)).tolist():
+            rows = conv[ended[low[s] : high[s]]]
             rows = rows[rows != _NONE]
             if not opened[s]:
                 own_ends[s] = hashlib.sha256(",".join(map(str, rows.tolist())).encode()).hexdigest()
@@ -403,10 +402,10 @@ def shard_nodes(
 
 def _sharded(width: int):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([x for x in batches if x.num_rows] or [])
-        if not table.num_rows:
+        held = [x for x in batches if x.num_rows]
+        if not held:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()
         flat = {c: pa.compute.list_flatten(table[c]).to_numpy() for c in ("ids", "bytes")}
         lengths = pa.compute.list_value_length(table["bytes"]).to_numpy().astype(np.int64)
         yield from shard_nodes(

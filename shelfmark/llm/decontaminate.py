@@ -209,9 +209,16 @@ def contamination(
     """The columns of ``docs`` but the text, with ``n_words``, ``n_hit``,
     ``n_items``, ``items_sha256`` and ``contaminated``.
 
-    Texts are read twice and never shuffled. ``docs`` should have no columns of
-    these names, nor ``uid``, ``places``.
+    Texts are read twice and never shuffled. A column of ``docs`` with the name
+    of a result gives way to it.
     """
+    results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    carried = [c for c in docs.columns if c != text and c.lower() not in results]
+    names = [f"_c{i}" for i in range(len(carried))]
+    docs = docs.select(
+        *[F.col(c).alias(name) for c, name in zip(carried, names)], F.col(text).alias("text")
+    )
+    text = "text"
     context = docs.sparkSession.sparkContext
     items = staged(item_windows(benchmark, item, item_text, size), "items")
     windows = items.select("window").distinct()
@@ -255,7 +262,7 @@ def contamination(
         .join(covered, "uid", "left")
         .join(held, "uid", "left")
         .select(
-            *[c for c in docs.columns if c != text],
+            *[F.col(name).alias(c) for c, name in zip(carried, names)],
             "n_words",
             n_hit.alias("n_hit"),
             F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),

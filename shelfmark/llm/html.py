@@ -344,8 +344,9 @@ def main_text(html: str | None, tagger: Crf) -> str:
 
 
 def extract(pages: DataFrame, tagger: Crf, html: str = "html") -> DataFrame:
-    """``pages`` without the mark-up, with its main ``text``."""
-    kept = [c for c in pages.columns if c != html]
+    """``pages`` without the mark-up, with its main ``text``; a column of that name
+    gives way to it."""
+    kept = [c for c in pages.columns if c != html and c.lower() != "text"]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,8 +9,7 @@ verdict is joined back to its documents.
 Defined results: a null text has no words and fails as too short; an empty
 table gives an empty one; repeated rows are judged one by one; a null host is
 no site and gets no host verdict; columns of the input beside the named ones
-are left alone, whatever their names (``judged`` adds one column, of a name
-the input does not have).
+are carried, but one of a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm.rows import free_name
+from shelfmark.llm.staging import staged
 
 # fixed values of the contract
 SYMBOLS = "#*$%&|<>"
@@ -166,26 +166,24 @@ def host_verdicts(hosts: DataFrame, limit: float = 0.5) -> DataFrame:
     return hosts.select("*", *rates, rejected.alias("rejected"))
 
 
-def judged(
-    docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5
-) -> tuple[DataFrame, str]:
-    """``docs`` with a boolean column that says which to keep, and its name.
+def decisions(
+    docs: DataFrame, keys: list[str], text: str = "text", host: str = "source", limit: float = 0.5
+) -> DataFrame:
+    """``keys`` of every row of ``docs``, and whether it is ``kept``.
 
-    The texts are read twice, for the hosts' counts and for the documents
-    themselves, rather than written with their signals in between.
+    Hosts are counted on the signals, and their verdicts meet those; the texts
+    are read once.
     """
-    q, kept = free_name(docs, "_signals"), free_name(docs, "_kept")
-    measured = docs.withColumn(q, signals(F.col(text)))
-    hosts = host_verdicts(host_failures(measured.select(host, q), host, q), limit)
-    verdicts = hosts.where("rejected").select(
-        F.col("host").alias(f"_h{kept}"), F.lit(True).alias(f"_r{kept}")
-    )
-    return (
-        measured.join(verdicts, measured[host].eqNullSafe(verdicts[f"_h{kept}"]), "left")
-        .withColumn(kept, ~base_failed(q) & F.col(f"_r{kept}").isNull())
-        .drop(q, f"_h{kept}", f"_r{kept}"),
-        kept,
+    names = [f"k{i}" for i in range(len(keys))]
+    measured = staged(
+        docs.select(
+            *[F.col(k).alias(name) for k, name in zip(keys, names)],
+            F.col(host).alias("host"),
+            signals(F.col(text)).alias("q"),
+        ),
+        "signals",
     )
+    return host_quality(measured, "host", "q", limit).select(*names, "kept").toDF(*keys, "kept")
 
 
 def host_quality(
@@ -197,13 +195,17 @@ def host_quality(
     Host verdicts meet the documents in a join that adaptive execution can
     split, as one host may hold a third of all documents.
     """
+    results = {"base_failed", "host_rejected", "kept"}
+    given = measured.columns
+    own = free_name(measured, "_host")
+    refused = free_name(measured, "_rejected")
     hosts = host_verdicts(host_failures(measured, host, q), limit)
-    verdicts = hosts.select(F.col("host").alias("_host"), F.col("rejected").alias("_rejected"))
-    rejected = F.coalesce(F.col("_rejected"), F.lit(False))
-    return (
-        measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "left")
-        .withColumn("base_failed", base_failed(q))
-        .withColumn("host_rejected", rejected)
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-        .drop("_host", "_rejected")
+    verdicts = hosts.select(F.col("host").alias(own), F.col("rejected").alias(refused))
+    rejected = F.coalesce(F.col(refused), F.lit(False))
+    failed_alone = base_failed(q)
+    return measured.join(verdicts, measured[host].eqNullSafe(verdicts[own]), "left").select(
+        *[F.col(c) for c in given if c.lower() not in results],
+        failed_alone.alias("base_failed"),
+        rejected.alias("host_rejected"),
+        (~failed_alone & ~rejected).alias("kept"),
     )

@@ -210,8 +210,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, most_in_key: int = MOST_I
 
 
 def near_duplicates(printed: DataFrame, id: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """``fp`` and ``component_id`` of every fingerprint in ``printed``, a table
-    of ids with their fingerprints."""
+    """``fp``, ``root`` and ``component_id`` of every fingerprint in ``printed``, a
+    table of ids with their fingerprints. ``root``, the smallest fingerprint of a
+    component, tells it from others also where ids are null or repeat."""
     per_print = printed.groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("least"))
     tied = components(links(per_print.select("fp")))
     rooted = per_print.join(tied, F.col("fp") == F.col("node"), "left").select(
@@ -219,7 +220,7 @@ def near_duplicates(printed: DataFrame, id: str = "doc_id", fp: str = "fp") -> D
     )
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     same = null_safe(rooted, least, [("root", "_root")])
-    return rooted.join(least, same).select("fp", "component_id")
+    return rooted.join(least, same).select("fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

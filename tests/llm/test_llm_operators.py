@@ -90,8 +90,9 @@ def test_host_verdicts(spark):
 def test_host_rejects_its_good_documents_too(spark):
     rows = [("bad", "x")] * 40 + [("bad", "a b c d e f g h i j k l")]
     rows += [("good", "a b c d e f g h i j k l")] * 100
-    marked, kept = quality.judged(spark.createDataFrame(rows, "source string, text string"))
-    assert Counter(r.source for r in marked.where(kept).collect()) == {"good": 100}
+    df = spark.createDataFrame(rows, "source string, text string")
+    got = quality.decisions(df.withColumn("kept", df.source), ["source"]).collect()
+    assert Counter(r.source for r in got if r.kept) == {"good": 100} and len(got) == 141
 
 
 # --- 2 chat --------------------------------------------------------------------

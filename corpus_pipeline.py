@@ -11,34 +11,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.names import null_safe
 from shelfmark.llm import decontaminate, packing, quality, secrets, simhash
-from shelfmark.llm.rows import with_row_keys
+from shelfmark.llm.rows import surviving, with_row_keys
 from shelfmark.llm.staging import staged
 from shelfmark.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither a rule nor their host's verdict rejects."""
-    marked, kept = quality.judged(docs)
-    return marked.where(kept).select(*docs.columns)
+    keyed, keys = with_row_keys(docs)
+    return surviving(keyed, keys, staged(quality.decisions(keyed, keys), "decided"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of the smallest doc_id, and of rows
-    that share it, the first in the table."""
+    """One document of each group: the one of the smallest doc_id, of rows that
+    share it the first in the table, and of a group without ids its first row."""
     keyed, keys = with_row_keys(docs)
+    file, place = keys
     printed = staged(
-        keyed.select(*keys, "doc_id", simhash.fingerprints("text").alias("fp")), "prints"
-    )
-    groups = simhash.near_duplicates(printed, "doc_id").withColumnRenamed("fp", "_fp")
-    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *keys)
-    first = (
-        printed.join(groups, F.col("fp") == F.col("_fp"))
-        .groupBy("component_id")
-        .agg(F.min(own).alias("first"))
-        .select(*[F.col(f"first.{k}") for k in keys])
+        keyed.select(
+            F.col(file).alias("file"),
+            F.col(place).alias("place"),
+            F.col("doc_id").alias("id"),
+            simhash.fingerprints("text").alias("fp"),
+        ),
+        "prints",
     )
-    return keyed.join(first, keys, "left_semi").select(*docs.columns)
+    groups = simhash.near_duplicates(printed, "id").select(F.col("fp").alias("of"), "root")
+    grouped = printed.join(groups, null_safe(printed, groups, [("fp", "of")]))
+    grouped = grouped.select("file", "place", "id", F.col("root").alias("group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "file", "place"))
+    firsts = grouped.groupBy("group").agg(first.alias("first")).select("first.file", "first.place")
+    firsts = firsts.toDF("first_file", "first_place")
+    decided = grouped.join(
+        firsts, null_safe(grouped, firsts, [("file", "first_file"), ("place", "first_place")]), "left"
+    ).select("file", "place", F.col("first_place").isNotNull().alias("kept"))
+    return surviving(keyed, keys, staged(decided, "decided"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +56,20 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     judged = decontaminate.contamination(
         keyed.select(*keys, "text"), table(spark, sf_dir, "benchmark")
     )
-    return keyed.join(judged.where("contaminated"), keys, "left_anti").select(*docs.columns)
+    decided = judged.select(*keys, (~F.col("contaminated")).alias("kept"))
+    return surviving(keyed, keys, staged(decided, "decided"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
-    scanned = secrets.secret_scan(docs, secrets.fit_tagger(docs))
-    length = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text"))
-    return scanned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(
-        *docs.columns
-    )
+    tagger = secrets.fit_tagger(docs)
+    # columns by place, so that none has the name of a result of the scan
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, n_chars = (names[docs.columns.index(c)] for c in ("text", "n_chars"))
+    scanned = secrets.secret_scan(docs.toDF(*names), tagger, text)
+    length = F.when(F.col("spans") == "", F.col(n_chars)).otherwise(F.length(text))
+    scanned = scanned.withColumn(n_chars, length.cast(docs.schema["n_chars"].dataType))
+    return scanned.select(*names).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

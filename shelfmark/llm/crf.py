@@ -50,7 +50,7 @@ class Crf:
             for t, fs in enumerate(s):
                 owner += [i * longest + t] * len(fs)
                 feature += [names[f] for f in fs]
-        owner, feature = np.array(owner), np.array(feature)
+        owner, feature = np.array(owner, np.int64), np.array(feature, np.int64)
         there = np.arange(longest)[None, :] < lengths[:, None]
         truth = np.zeros((n, longest, K))
         truth[there] = np.eye(K)[gold[there]]

@@ -21,7 +21,6 @@ from shelfmark.llm import (
     packing,
     quality,
     queries,
-    secrets,
     simhash,
     suffixes,
 )
@@ -410,39 +409,6 @@ def test_licences(spark):
     assert {r.license for r in licences.licence_scan(df, unknown).collect()} == {None}
 
 
-# --- 10 secrets ----------------------------------------------------------------
-
-
-def test_base_spans(documents, odd):
-    assign = re.compile(
-        r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    )
-    more = ['API_KEY = "abcdefghijkl"', "token: abc", "x AKIA" + "B" * 14, "AKIAB", "0" * 15, "f" * 16]
-    for text in [t or "" for _, t in texts_of(documents) + texts_of(odd)] + more:
-        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
-        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
-        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
-        assert secrets.base_spans(text)[0] == sorted(want)
-
-
-def test_tagger_adds_and_base_stays(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    tagger = secrets.fit_tagger(docs)
-    base, spans = secrets.scan_text("the key = 9f8G7h6J5k4L3m2N1b and token=abcdefabcdef1234", tagger, set())
-    assert base == [(33, 0, 55), (39, 2, 55)]  # both an assignment and hexadecimal
-    assert set(spans) == {*base, (10, 3, 28)}
-    assert secrets.scan_text("Plain words in 2024, call 555 1234.", tagger, set()) == ([], [])
-    text = "a token=abcdefabcdef1234 b"
-    assert secrets.redacted(text, secrets.scan_text(text, tagger, set())[1], "[s]") == "a [s] b"
-
-
-def test_scan_of_odd_rows(odd):
-    tagger = secrets.fit_tagger(odd)
-    rows = secrets.secret_scan(odd, tagger).collect()
-    assert Counter((r.doc_id, r.text) for r in rows) == Counter(ODD)
-    assert secrets.secret_scan(odd.where("false"), tagger).count() == 0
-
-
 # --- plans ---------------------------------------------------------------------
 
 

@@ -9,11 +9,14 @@ the turn is rendered with two texts of one letter each, which agree in what is
 before the text and in what is after it.
 
 Rendering every prefix takes time that grows with the square of the turns, and
-a conversation may hold a third of all turns. Turns are therefore dealt by
-ranges of conversation and turn, so that many tasks share a long conversation,
-and are rendered in blocks of a bounded number. For that each turn has to come
-out as it does alone, which is tested for each; a turn that does not is reported
-like rewritten history. Templates that look back are given whole conversations.
+nothing less will do for a template of which nothing is known: conversations
+are rendered whole, each in one task. A caller that knows a template to be
+``local`` says so: what it adds for a turn is then the same after whatever turns
+and there is nothing before the first. Turns are then dealt by ranges of
+conversation and turn, so that many tasks share a long conversation, and
+rendered in blocks. That the template is local is tested for each turn, alone
+and after itself, and ``NotLocal`` raised where it is not, so that neither the
+blocks nor the ranges can change a result.
 
 Defined results: a null role or text is empty; a null conversation id is one
 conversation; a null turn comes first, and equal turns are in order of role and
@@ -79,20 +82,42 @@ def agreement(a: str, b: str, start: int = 0) -> int:
     return low
 
 
+class NotLocal(ValueError):
+    """A template was said to be local and is not."""
+
+
+def check_local(template: Template, turn: tuple[str, str], added: str) -> None:
+    """That ``turn`` comes out as ``added`` alone, after itself and after nothing."""
+    if template([]) or template([turn]) != added or template([turn, turn]) != 2 * added:
+        raise NotLocal(
+            "the template looks at other turns or has an opening: format with local=False"
+        )
+
+
 def located(
-    template: Template, turns: Turns, alone: bool = False
+    template: Template, turns: Turns, local: bool = False
 ) -> tuple[str, list[tuple[int, int, int, int]], int]:
     """The output; per turn the bounds of its span and of its text inside; and
-    the first turn at which the template rewrites history, or -1. With ``alone``
-    also a turn that comes out otherwise when it is the only one is reported."""
+    the first turn at which the template rewrites history, or -1. With ``local``
+    ``NotLocal`` is raised instead, and also where a turn comes out otherwise
+    by itself."""
+    output, spans, rewritten = _located(template, turns, local)
+    if local and rewritten >= 0:
+        raise NotLocal(f"the template rewrites history at turn {rewritten} of a block")
+    return output, spans, rewritten
+
+
+def _located(
+    template: Template, turns: Turns, local: bool
+) -> tuple[str, list[tuple[int, int, int, int]], int]:
     before, spans = template([]), []
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
         one, other = (template([*turns[:k], (role, probe)]) for probe in "XY")
         if not (now.startswith(before) and one.startswith(before)):
             return template(turns), [], k
-        if alone and now[len(before) :] != template([(role, text)]):
-            return template(turns), [], k
+        if local:
+            check_local(template, (role, text), now[len(before) :])
         head = agreement(one, other, len(before))
         tail = agreement(one[head:][::-1], other[head:][::-1])
         stop = len(now) - tail
@@ -124,7 +149,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _blocks(
-    batches: Iterator[pa.RecordBatch], block: int | None
+    batches: Iterator[pa.RecordBatch], local: bool, block: int
 ) -> Iterator[tuple[object, Turns, bool]]:
     """The turns of sorted rows in blocks of one conversation each, and whether
     a block is surely all of its conversation: the first and the last one of a
@@ -133,16 +158,16 @@ def _blocks(
     for batch in batches:
         for value, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if held and value != id:
-                yield id, held, block is None or (alone and not opening)
+                yield id, held, not local or (alone and not opening)
                 held, chars, alone, opening = [], 0, True, False
-            elif held and block is not None and (len(held) >= block or chars > BLOCK_CHARS):
+            elif held and local and (len(held) >= block or chars > BLOCK_CHARS):
                 yield id, held, False
                 held, chars, alone = [], 0, False
             id = value
             held.append((role or "", text or ""))
             chars += len(held[-1][1])
     if held:
-        yield id, held, block is None
+        yield id, held, not local
 
 
 def format_conversations(
@@ -152,16 +177,17 @@ def format_conversations(
     role: str = "role",
     text: str = "text",
     template: Template = chat_template,
-    block: int | None = BLOCK,
+    local: bool = False,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Per part of a conversation its id, ``part`` (parts follow each other in
     this order), and the columns of ``FORMATTED``: ``whole`` says that it is
     known to be the only part, bounds and ``rewritten_at`` (-1 for a template
     that leaves history as it was) are counted within the part.
 
-    A part has at most ``block`` turns. With None conversations are rendered
-    whole, for templates that look back: in one task each, in time that grows
-    with the square of its turns.
+    A conversation is one part, rendered in one task in time that grows with the
+    square of its turns. Of a ``local`` template the parts have at most ``block``
+    turns, and other tasks may have other parts.
     """
     id_type = turns.schema[conversation].dataType
     schema = T.StructType([T.StructField("id", id_type), *FORMATTED.fields])
@@ -169,8 +195,8 @@ def format_conversations(
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, held = [], 0
-        for id, own, whole in _blocks(batches, block):
-            output, spans, rewritten = located(template, own, alone=block is not None)
+        for id, own, whole in _blocks(batches, local, block):
+            output, spans, rewritten = located(template, own, local)
             named = [dict(zip(_SPANS.names, (r, *span))) for (r, _), span in zip(own, spans)]
             done.append((id, whole, len(own), output, named, rewritten))
             held += len(output)
@@ -180,10 +206,10 @@ def format_conversations(
         if done:
             yield _batch(list(zip(*done)), arrow)
 
-    if block is None:
-        dealt = turns.repartition(conversation)
-    else:
+    if local:
         dealt = turns.repartitionByRange(conversation, turn)
+    else:
+        dealt = turns.repartition(conversation)
     return (
         dealt.sortWithinPartitions(conversation, turn, role, text)
         .select(conversation, role, text)

@@ -51,7 +51,7 @@ def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         said.alias("text"),
     )
-    formatted = chat.format_conversations(turns.unionByName(probe))
+    formatted = chat.format_conversations(turns.unionByName(probe), local=True)
     return chat.read_back(formatted).select(
         "conv_id",
         "n_turns",

@@ -99,13 +99,15 @@ def test_host_rejects_its_good_documents_too(spark):
 
 @pytest.mark.parametrize("block", [None, 1, 2, chat.BLOCK])
 def test_chat_read_back(spark, block):
+    how = {"local": block is not None, "block": block or chat.BLOCK}
     rows = [
         (1, 0, "user", "<|im_end|>\\n\\ <|im_start|>"), (1, 1, "assistant", "a<"),
         (2, 1, "assistant", "|>\n"), (2, 0, None, None), (None, None, "user", "x"),
         (3, 0, "assistant", ""), (3, 1, "assistant", "\n"), (3, 1, "a\nb<|", "t"),
+        (4, 0, "assistant", "<|é" * 1_000_000), (4, 1, "user", "x"), (4, 1, "user", "x"),
     ] + [(9, k, "assistant" if k % 2 else "user", f"turn {k} \\") for k in range(300)]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    formatted = chat.format_conversations(df, block=block)
+    formatted = chat.format_conversations(df, **how)
     assert block is None or formatted.agg({"n_turns": "max"}).first()[0] <= block
     rows_back = chat.read_back(formatted).collect()
     got = {r.conv_id: r for r in rows_back}
@@ -122,7 +124,7 @@ def test_chat_read_back(spark, block):
         assert (r.n_turns, r.loss_chars, r.rewritten_at) == (len(turns), len(loss), -1)
         assert r.formatted_chars == len(chat.chat_template([t[1:] for t in sorted(turns)]))
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
+    assert chat.read_back(chat.format_conversations(df.where("false"), **how)).count() == 0
 
 
 def test_template_that_rewrites_history():
@@ -134,17 +136,58 @@ def test_template_that_rewrites_history():
     assert chat.located(lambda ts: "".join(t for _, t in ts), turns)[1] == [(0, 9, 0, 9), (9, 15, 9, 15)]
 
 
-def test_turns_that_look_back_are_reported_in_blocks(spark):
+def looking_back():
+    """Templates that are not local, the turn at which they rewrite, or -1. They are
+    made here since workers do not know this module."""
+
+    def opened(turns):
+        return "<s>" + "".join(t for _, t in turns)
+
+    def opened_by_the_first(turns):
+        return "<s>" * bool(turns) + "".join(t for _, t in turns)
+
     def numbered(turns):
         return "".join(f"<{k}>{t}" for k, (_, t) in enumerate(turns))
 
-    rows = [(c, k, "user", "t") for c in range(40) for k in range(c % 5 + 1)]
+    def only_the_last(turns):
+        return "".join(t[:3] if k + 1 < len(turns) else t for k, (_, t) in enumerate(turns))
+
+    return [(opened, -1), (opened_by_the_first, -1), (numbered, -1), (only_the_last, 1)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_results_do_not_depend_on_partitions(spark, parts):
+    rows = [(c, k, "user", f"text {c}") for c in range(40) for k in range(c % 5 + 1)]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    whole = chat.format_conversations(df, template=numbered, block=None).collect()
-    assert {r.rewritten_at for r in whole} == {-1} and all(r.whole for r in whole)
-    in_blocks = chat.read_back(chat.format_conversations(df, template=numbered)).collect()
-    assert {r.conv_id: r.rewritten_at >= 0 for r in in_blocks}[4]
-    assert not {r.conv_id: r.rewritten_at >= 0 for r in in_blocks}[0]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for template, rewritten in looking_back():
+            got = chat.format_conversations(df, template=template).collect()
+            assert len(got) == 40 and all(r.whole for r in got)
+            for r in got:
+                assert r.rewritten_at == (-1 if r.n_turns == 1 else rewritten)
+                texts = [r.formatted[s.text_start : s.text_end] for s in r.spans]
+                assert texts == [f"text {r.conv_id}"] * (r.n_turns if r.rewritten_at < 0 else 0)
+            for block in (1, 2, chat.BLOCK):
+                with pytest.raises(Exception, match="NotLocal"):
+                    chat.format_conversations(df, template=template, local=True, block=block).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_query_with_its_own_conversation(spark):
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = defaultdict(list, {-1: [("user", said), ("assistant", said)]})
+    for r in rows:
+        turns[r.conv_id].append((r.role, r.text))
+    got = {r.conv_id: r for r in queries.op2_chat_format(spark, SMALL).collect()}
+    assert set(got) == set(turns)
+    for c, own in turns.items():
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert got[c].n_turns == len(own) and got[c].loss_chars == len(loss)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
 # --- 3 simhash -----------------------------------------------------------------

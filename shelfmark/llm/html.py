@@ -52,16 +52,83 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
 
+# of these, those that hold other elements and no text of their own
+HOLDERS = BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre",
+                   "blockquote", "table", "tbody", "thead", "tr", "td", "th", "figcaption"}
+
+# the sample that the tagger is fitted on
 SAMPLE_PAGES = 200
-LAYOUTS = 4
+SAMPLE_CHARS = 200_000  # longer pages are not drawn for it
+LAYOUTS = 5
 LONGEST = 120  # blocks of a page that are fitted on
 
 
+class Element:
+    """An open element: what holds for all blocks in it, told from its parent's, so
+    that a block costs the same however deep it stands."""
+
+    __slots__ = ("tag", "block", "tags", "words", "nearest", "gold", "below")
+
+    def __init__(self, parent: Element | None, tag: str, words: tuple[str, ...], gold: str | None):
+        self.tag = tag
+        self.block = tag if tag in BLOCK else parent.block if parent else "body"
+        self.tags: frozenset[str] = parent.tags if parent else frozenset()
+        if tag not in self.tags:
+            self.tags |= {tag}
+        self.words: frozenset[str] = parent.words if parent else frozenset()
+        if not self.words.issuperset(words):
+            self.words |= set(words)
+        self.nearest = words or (parent.nearest if parent else ())
+        self.gold = gold or (parent.gold if parent else None)
+        # what stands between the article and here: how many elements that hold
+        # others, and whether one has class words
+        inside = parent.below if parent else None
+        if tag in ("article", "main"):
+            self.below: tuple[int, bool] | None = (0, False)
+        elif inside is not None and tag in HOLDERS:
+            self.below = (min(inside[0] + 1, 3), inside[1] or bool(words))
+        else:
+            self.below = inside
+
+
 class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
-    above: tuple[tuple[str, tuple[str, ...]], ...]  # tags with their class words
-    gold: str | None  # what a laid-out page says of the block
+    within: Element | None
+
+    @property
+    def gold(self) -> str | None:
+        """What a laid-out page says of the block."""
+        return self.within.gold if self.within else None
+
+
+class Stack:
+    """The open elements, found by tag without a walk over all of them."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, words: tuple[str, ...], gold: str | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(Element(self.open[-1] if self.open else None, tag, words, gold))
+
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        self.places[tag].pop()
+        return tag
+
+    def last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def find(self, tags: set[str], within: set[str]) -> int | None:
+        """The place of the innermost open one of ``tags`` that is not outside the
+        innermost one of ``within``."""
+        at = self.last(tags)
+        return at if at >= 0 and at >= self.last(within) else None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
 
 
 def _attributes(text: str) -> tuple[tuple[str, ...], str | None]:
@@ -76,10 +143,11 @@ def _attributes(text: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(words), gold
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page, without elements whose text is not shown."""
+def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, without elements whose text is not shown. Of class
+    words only the ``known`` ones are kept, where they are given."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    stack = Stack()
     parts: list[str] = []
     linked = hidden = 0
 
@@ -87,8 +155,7 @@ def leaf_blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            gold = next((g for _, _, g in reversed(stack) if g), None)
-            blocks.append(Block(text, linked, tuple((t, w) for t, w, _ in stack), gold))
+            blocks.append(Block(text, linked, stack.open[-1] if stack.open else None))
         parts.clear()
         linked = 0
 
@@ -97,23 +164,17 @@ def leaf_blocks(html: str) -> list[Block]:
         if text and not hidden:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if stack.has("a"):
                 linked += len(text)
 
     def close(at: int) -> None:
         nonlocal hidden
-        if any(t in BLOCK for t, _, _ in stack[at:]):
+        if any(e.tag in BLOCK for e in stack.open[at:]):
             flush()
-        hidden -= sum(t in UNSEEN for t, _, _ in stack[at:])
-        del stack[at:]
+        while len(stack.open) > at:
+            hidden -= stack.pop() in UNSEEN
 
-    def find(tags: set[str], within: set[str]) -> int | None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in within:
-                return None
-        return None
+    find = stack.find
 
     at = 0
     while at < len(html):
@@ -144,7 +205,7 @@ def leaf_blocks(html: str) -> list[Block]:
             parts.append(" ")
         if tag in VOID:
             continue
-        if tag == "body" and stack:
+        if tag == "body" and stack.open:
             k = find({"head"}, set())
             if k is not None:
                 close(k)
@@ -155,7 +216,9 @@ def leaf_blocks(html: str) -> list[Block]:
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         words, gold = _attributes(m[3])
-        stack.append((tag, words, gold))
+        if known is not None:
+            words = tuple(w for w in words if w in known)
+        stack.push(tag, words, gold)
         hidden += tag in UNSEEN
     flush()
     return blocks
@@ -164,29 +227,38 @@ def leaf_blocks(html: str) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """The features of each block of a page."""
     result = []
-    whole = {t for b in blocks for t, _ in b.above}
-    page = f"page={'article' in whole},{'main' in whole}"
+    nothing = Element(None, "", (), None)
+    whole = {t for within in {id(b.within): b.within for b in blocks if b.within}.values() for t in within.tags}
+    marks = "article" in whole or "main" in whole
+    of_element: dict[int, list[str]] = {}
     for k, b in enumerate(blocks):
-        tags = [t for t, _ in b.above]
-        words = {w for _, ws in b.above for w in ws}
+        within = b.within or nothing
+        shared = of_element.get(id(within))
+        if shared is None:
+            inside = within.below is not None
+            outer = not OUTER.isdisjoint(within.tags)
+            shared = [f"above={t}" for t in sorted(within.tags)]
+            shared += [f"class={w}" for w in sorted(within.words)]
+            shared += [f"nearest={w}" for w in within.nearest]
+            shared += [f"marked={marks},{inside},{outer}", f"own,marked={within.block},{marks},{inside}"]
+            shared += [f"below={within.below},{outer},{bool(within.words)}"]
+            of_element[id(within)] = shared
+        own = within.block
         n = len(b.text)
         count = b.text.count(" ") + 1
         link = 4 * b.linked // n
-        own = next((t for t in reversed(tags) if t in BLOCK), "body")
         stops = sum(map(b.text.count, ".!?"))
         f = [f"own={own}", f"words={count.bit_length()}", f"link={link}", f"end={b.text[-1] in '.!?'}"]
         f += [f"own,words={own},{count.bit_length()}", f"link,words={link},{count.bit_length()}"]
         f += [f"stops={min(stops, 4)}", f"place={10 * k // len(blocks)}", "bias"]
-        f += [f"above={t}" for t in set(tags)]
-        f += [f"class={w}" for w in words]
-        f += [f"nearest={w}" for w in next((ws for _, ws in reversed(b.above) if ws), ())]
-        inside = "article" in tags or "main" in tags
-        f.append(f"inside,{page}={inside}")
         f.append(f"mark={b.text[0] if b.text[0] in '©®|»«•' else ''}")
-        result.append(f)
+        result.append(f + shared)
     return result
 
 
+# fixed value: elements whose texts are not of the article
+OUTER = frozenset(("nav", "aside", "footer", "form"))
+
 # fixed values: names that pages give to their parts
 MAIN_NAMES = ("content", "post", "entry-content", "article-body", "story", "main-content",
               "post-body", "page-content", "text", "body-copy", "post-content", "entry")
@@ -268,25 +340,41 @@ def laid_out(main: list[tuple[str, str]], other: list[str], rng: random.Random)
         body += f"<{tag}>{_plain(text)}</{tag}>"
         if k and rng.random() < 0.2:
             body += '<div data-gold="other">' + rng.choice((advert, side, notice, form))() + "</div>"
-    if rng.random() < 0.5:
+    style = rng.random()
+    before = [p for p in (header, menu, notice, advert) if rng.random() < 0.6]
+    after = [p for p in (comments, side, advert, menu, form, notice, footer) if rng.random() < 0.6]
+    rng.shuffle(before)
+    if style < 0.15:  # laid out by a table, without names
+        cell = '<td valign="top">'
+        left = "".join(f"{cell}{rng.choice((links(2, 8), short(2, 12)))}</td>" for _ in range(rng.randint(0, 2)))
+        top = f'<tr><td colspan="3">{rng.choice((short(1, 6), links(2, 6)))}</td></tr>' * (rng.random() < 0.7)
+        end = f'<tr><td colspan="3">{rng.choice((short(2, 12), links(2, 5)))}</td></tr>' * (rng.random() < 0.7)
+        return (
+            f"<html><body><table>{top}<tr>{left}<td data-gold=\"main\">{body}</td></tr>{end}</table></body></html>"
+        )
+    if style < 0.3:  # nothing around it but the body
+        before = [p() for p in before] if rng.random() < 0.4 else []
+        after = [p() for p in after] if rng.random() < 0.4 else []
+        tail = f"<p>{links(2, 4)}</p>" * (rng.random() < 0.3)
+        bare_body = body.replace("<p>", '<p data-gold="main">').replace("<h", '<h data-gold="main" x')
+        bare_body = re.sub(r"<h data-gold=\"main\" x(\d)>", r'<h\1 data-gold="main">', bare_body)
+        bare_body = re.sub(r"<(div|blockquote|li)>", r'<\1 data-gold="main">', bare_body)
+        return "<html><body>" + "".join(before) + bare_body + tail + "".join(after) + "</body></html>"
+    if style < 0.65:
         body = rng.choice((f"<article>{body}</article>", f"<main>{body}</main>"))
     else:
         body = wrap(named(MAIN_NAMES + ("x", "c", "b")), body)
     if rng.random() < 0.3:
         body = wrap(named(("wrapper", "container", "page", "row", "col")), body)
     parts = [f'<div data-gold="main">{body}</div>']
-    before = [p for p in (header, menu, notice, advert) if rng.random() < 0.6]
-    after = [p for p in (comments, side, advert, menu, form, notice, footer) if rng.random() < 0.6]
-    rng.shuffle(before)
     parts = [p() for p in before] + parts + [p() for p in after]
     return "<html><body>" + "".join(parts) + "</body></html>"
 
 
 def marked_labels(blocks: list[Block]) -> list[int]:
     """Labels by the page's own mark-up."""
-    outer = {"nav", "aside", "footer", "form"}
     return [
-        int(not outer & (t := {tag for tag, _ in b.above}) and bool(t & {"article", "main"}))
+        int(b.within is not None and b.within.below is not None and OUTER.isdisjoint(b.within.tags))
         for b in blocks
     ]
 
@@ -308,7 +396,7 @@ def training_pages(pages: list[str], layouts: int) -> tuple[list, list]:
             take(blocks, own)
     prose = [b.text for blocks, own in read for b, y in zip(blocks, own) if len(b.text) > 40]
     for k, (blocks, own) in enumerate(read):
-        main = [(b.above[-1][0] if b.above else "p", b.text) for b, y in zip(blocks, own) if y]
+        main = [(b.within.tag, b.text) for b, y in zip(blocks, own) if y]
         other = [b.text for b, y in zip(blocks, own) if not y] + prose[k % max(1, len(prose)) :][:20]
         for turn in range(layouts):
             rng = random.Random(1000 * k + turn)
@@ -325,20 +413,29 @@ def fit_tagger(
     sample_pages: int = SAMPLE_PAGES,
     layouts: int = LAYOUTS,
 ) -> Crf:
-    """The tagger fitted on about ``sample_pages`` of the pages that mark their
-    article, drawn by a hash from all pages, and ``layouts`` new layouts of each."""
-    marked = pages.where(F.col(html).rlike("(?i)<(article|main)[ >]"))
-    n = pages.count()
-    drawn = marked
-    if n > sample_pages:
-        place = F.pmod(F.xxhash64(id, html), F.lit(1_000_000_007))
-        drawn = marked.where(place < int(1_000_000_007 * sample_pages / n))
-    texts = sorted(r[0] for r in drawn.select(F.col(html)).limit(4 * sample_pages).collect())
-    return Crf(2).fit(*training_pages(texts, layouts))
-
-
-def main_text(html: str | None, tagger: Crf) -> str:
-    blocks = leaf_blocks(html) if html else []
+    """The tagger fitted on at most ``sample_pages`` of the pages that mark their
+    article, those of the least hash among about four times as many, and on
+    ``layouts`` new layouts of each."""
+    marked = F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS)
+    place = F.xxhash64(id, html)
+    share = min(1.0, 4 * sample_pages / max(pages.count(), 1))
+    drawn = (
+        pages.select(F.col(html).alias("html"), place.alias("place"))
+        .where(F.pmod("place", F.lit(1 << 30)) <= int(share * (1 << 30)))
+        .where(marked)
+        .orderBy("place", "html")
+        .limit(sample_pages)
+    )
+    return Crf(2).fit(*training_pages([r.html for r in drawn.collect()], layouts))
+
+
+def known_words(tagger: Crf) -> frozenset[str]:
+    """The class words that the tagger has learnt of."""
+    return frozenset(f.partition("=")[2] for f in tagger.scores if f.startswith(("class=", "nearest=")))
+
+
+def main_text(html: str | None, tagger: Crf, known: frozenset[str] | None = None) -> str:
+    blocks = leaf_blocks(html, known_words(tagger) if known is None else known) if html else []
     labels = tagger.decode(features(blocks))
     return " ".join(b.text for b, label in zip(blocks, labels) if label)
 
@@ -349,8 +446,9 @@ def extract(pages: DataFrame, tagger: Crf, html: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c != html and c.lower() != "text"]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words(tagger)
         for batch in batches:
-            found = [main_text(v.as_py(), tagger) for v in batch.column(len(kept))]
+            found = [main_text(v.as_py(), tagger, known) for v in batch.column(len(kept))]
             columns = [batch.column(k) for k in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(found, pa.string())], names=[*kept, "text"]

@@ -335,9 +335,10 @@ def test_contamination(spark, documents, odd):
 # --- 6 html --------------------------------------------------------------------
 
 
-def test_pages_of_the_table(spark):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
-    for r in queries.op6_html_text(spark, SMALL).collect():
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.1"])
+def test_pages_of_the_table(spark, folder):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    for r in queries.op6_html_text(spark, folder).collect():
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)
         from html import unescape
 
@@ -355,7 +356,7 @@ def test_layouts_held_out(spark):
     for k, page in enumerate(pages[30:]):
         blocks = html.leaf_blocks(page)
         own = html.marked_labels(blocks)
-        main = [(b.above[-1][0], b.text) for b, y in zip(blocks, own) if y][:12]
+        main = [(b.within.tag, b.text) for b, y in zip(blocks, own) if y][:12]
         other = [b.text for b, y in zip(blocks, own) if not y]
         laid = html.leaf_blocks(html.laid_out(main, other, random.Random(99_000 + k)))
         found = tagger.decode(html.features(laid))
@@ -364,13 +365,53 @@ def test_layouts_held_out(spark):
     assert right / total > 0.95
 
 
+TITLE = "The bridge is open again"
+PROSE = (
+    "After three years of work the old bridge was opened on Monday. Hundreds of people came to see it.",
+    "The mayor said that it had cost less than planned, and thanked all who had taken part.",
+)
+BODY = f"<h1>{TITLE}</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p>"
+BY_HAND = [
+    f"<html><body><table><tr><td colspan=2>Town News</td></tr><tr><td><a href=/a>Home</a><br><a href=/b>Sport</a><br>"
+    f"<a href=/c>Weather</a></td><td>{BODY}</td></tr><tr><td colspan=2>Copyright 2020 Town News</td></tr></table>",
+    f"<html><body>{BODY}</body></html>",
+    f"<div id=top><a href=/>Home</a> | <a href=/s>Sport</a></div><div id=story>{BODY}</div><div id=bottom>All rights reserved</div>",
+    f"<header><h2>Town News</h2></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>Sport</a></ul></nav><article>{BODY}</article>"
+    "<section class=comments><h3>Comments</h3><p>Good news at last, thank you all for it!</p></section><footer>Imprint</footer>",
+    f"<div class=wrapper><div class=cookie-banner>We use cookies.</div><div class='post-content entry'>{BODY}</div>"
+    "<aside class=sidebar><h3>Related</h3><ul><li><a href=/1>The old bridge</a></ul></aside></div>",
+]
+
+
+@pytest.mark.parametrize("page", BY_HAND)
+def test_layouts_of_another_hand(spark, page_tagger, page):
+    assert html.main_text(page, page_tagger) == " ".join((TITLE, *PROSE))
+
+
+@pytest.fixture(scope="module")
+def page_tagger(spark):
+    return html.fit_tagger(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+
+
+def test_pages_of_many_open_elements(page_tagger):
+    import time
+
+    begun = time.time()
+    assert [b.text for b in html.leaf_blocks("<div>" * 100_000 + "x")] == ["x"]
+    assert len(html.leaf_blocks("<div class=c>a" * 30_000)) == 30_000
+    many = "".join(f"<div class=c{k}><p>text<td>" for k in range(10_000))
+    assert set(html.main_text(many, page_tagger).split()) <= {"text"}
+    html.main_text("<ul><li>" * 20_000 + "</li>" * 20_000, page_tagger)
+    assert time.time() - begun < 20
+
+
 def test_odd_pages(spark):
     tagger = html.Crf(2)
     assert html.main_text(None, tagger) == "" and html.main_text("", tagger) == ""
     blocks = html.leaf_blocks("<p>a &lt; b<p>c\n\n d<script>x='</p>'</script><li>e<li>f<a href='>'>g</a> < h")
     assert [b.text for b in blocks] == ["a < b", "c d", "e", "fg < h"]
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t")], "page_id int, html string, text string")
-    assert [r[0] for r in html.extract(df.drop("text"), tagger).select("text").collect()] == ["", ""]
+    assert [r[0] for r in html.extract(df, tagger).select("text").collect()] == ["", ""]
     assert html.fit_tagger(df.where("false")).scores == {}
 
 

@@ -46,7 +46,7 @@ def write_token_files(
 
     @F.arrow_udf(T.BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
-        encode = encoder(vocabulary).text
+        encode = encoder(vocabulary, special=False).text  # the separator's string is text
         found = []
         for value in texts:
             wide = np.frombuffer(encode(value.as_py() or ""), "<u4")

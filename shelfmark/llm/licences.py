@@ -1,9 +1,15 @@
 """Licence texts among documents, by digests of canonical texts.
 
-A text is made canonical: lower case, copyright lines left out, equivalent
-spellings made one, and everything but letters and digits a blank. The digest
-of the whole canonical text is joined to the digests of known licences, made
-canonical the same way. Only built-in functions are used.
+A text is made canonical: lower case, copyright notices left out, everything but
+letters and digits a blank, equivalent spellings of whole words made one. Where
+lines break makes no difference. The digest of the whole canonical text is
+joined to the digests of known licences, made canonical the same way. Only
+built-in functions are used.
+
+The known licences are the table of texts in ``licence_texts``, a file for each,
+and what is made of them by rule: with a usual heading, and without what follows
+the end of the terms. A notice or a sentence that names a licence is no licence
+text and not found.
 
 Defined results: a null text has no digest and no licence; an empty one has the
 digest of nothing; repeated rows each get a row; an empty table gives an empty
@@ -12,133 +18,82 @@ one; only the columns named are read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.names import null_safe
 
-# fixed values: spellings that mean the same, the second being kept
+TEXTS = Path(__file__).parent / "licence_texts"
+# fixed values: headings that a licence's text may have, and the line after which
+# only advice on its use follows
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License (MIT)", "The MIT License"),
+    "ISC": ("ISC License",),
+    "0BSD": ("BSD Zero Clause License",),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "Zlib": ("zlib License",),
+}
+LAST_LINE = "END OF TERMS AND CONDITIONS"
+
+# fixed values: spellings that mean the same, the second being kept; whole words
 SPELLINGS = (
     ("licence", "license"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
+    ("licencee", "licensee"),
+    ("licencees", "licensees"),
+    ("licencing", "licensing"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
+    ("acknowledgements", "acknowledgments"),
     ("authorisation", "authorization"),
+    ("authorised", "authorized"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("favour", "favor"),
+    ("favourable", "favorable"),
     ("honour", "honor"),
+    ("honoured", "honored"),
     ("fulfilment", "fulfillment"),
     ("judgement", "judgment"),
     ("merchantability and fitness", "merchantability fitness"),
     ("non infringement", "noninfringement"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("whilst", "while"),
     ("programme", "program"),
+    ("programmes", "programs"),
     ("analogue", "analog"),
 )
-COPYRIGHT_LINES = r"(?m)^[^\p{L}\n(]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# fixed values: notices, in lower case; a line's notice begins the line and has a year
+NOTICE_LINES = r"(?m)^[^\p{L}\n(]*(copyright[ \t]*(\(c\)|©)?|\(c\)|©)[ \t]*[0-9]{4}[^\n]*$"
 NOT_LETTERS = r"[^\p{L}\p{N}]+"
-
-# fixed values: the texts of short public licences
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE.
-"""
-_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted"""
-_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
-REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
-AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
-LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
-OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
-PERFORMANCE OF THIS SOFTWARE.
-"""
-_BSD_TWO = """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice,
-   this list of conditions and the following disclaimer in the documentation
-   and/or other materials provided with the distribution.
-"""
-_BSD_THIRD = """
-3. Neither the name of the copyright holder nor the names of its contributors
-   may be used to endorse or promote products derived from this software
-   without specific prior written permission.
-"""
-_BSD_END = """
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
-ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
-ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
-(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
-LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
-ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
-(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
-SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
-"""
-_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In
-no event will the authors be held liable for any damages arising from the use of
-this software.
-
-Permission is granted to anyone to use this software for any purpose, including
-commercial applications, and to alter it and redistribute it freely, subject to
-the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim
-that you wrote the original software. If you use this software in a product, an
-acknowledgment in the product documentation would be appreciated but is not
-required.
-
-2. Altered source versions must be plainly marked as such, and must not be
-misrepresented as being the original software.
-
-3. This notice may not be removed or altered from any source distribution.
-"""
-LICENCES = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n" + _MIT),
-    ("MIT", "Released under the MIT License.\n"),
-    ("ISC", _ISC_GRANT + ", provided that the above\ncopyright notice and this permission notice"
-            " appear in all copies.\n" + _ISC_END),
-    ("ISC", "ISC License\n" + _ISC_GRANT + ", provided that the above\ncopyright notice and this"
-            " permission notice appear in all copies.\n" + _ISC_END),
-    ("0BSD", _ISC_GRANT + ".\n" + _ISC_END),
-    ("BSD-2-Clause", _BSD_TWO + _BSD_END),
-    ("BSD-3-Clause", _BSD_TWO + _BSD_THIRD + _BSD_END),
-    ("Zlib", _ZLIB),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.\n"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.\n"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3.\n"),
+NOTICE_WORDS = tuple(
+    words.replace(" ", NOT_LETTERS)
+    for words in (
+        "copyright (c )?([0-9]{4} )+free software foundation inc( https fsf org)?",
+        "all rights reserved",
+    )
 )
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINES, " ")
-    plain = F.trim(F.regexp_replace(plain, NOT_LETTERS, " "))
+    plain = F.lower(text)
+    for words in NOTICE_WORDS:
+        plain = F.regexp_replace(plain, words, " ")
+    plain = F.regexp_replace(plain, NOTICE_LINES, " ")
+    # two blanks between words, so that each has its own on both sides
+    plain = F.concat(F.lit(" "), F.regexp_replace(plain, NOT_LETTERS, "  "), F.lit(" "))
     for spelling, kept in SPELLINGS:
-        plain = F.replace(plain, F.lit(spelling), F.lit(kept))
-    return plain
+        spaced = [f" {w.replace(' ', '  ')} " for w in (spelling, kept)]
+        plain = F.replace(plain, F.lit(spaced[0]), F.lit(spaced[1]))
+    return F.trim(F.replace(plain, F.lit("  "), F.lit(" ")))
 
 
 def licence_digests(known: DataFrame, name: str = "license", text: str = "text") -> DataFrame:
@@ -150,10 +105,22 @@ def licence_digests(known: DataFrame, name: str = "license", text: str = "text")
     )
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Name and text of every known licence, a licence more than once where its
+    text has several forms."""
+    found = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        whole = file.read_text(encoding="utf-8")
+        terms, line, _ = whole.partition(LAST_LINE)
+        for text in {whole, terms + line}:
+            found += [(file.stem, text)]
+            found += [(file.stem, f"{heading}\n\n{text}") for heading in HEADINGS.get(file.stem, ())]
+    return sorted(found)
+
+
 def known_licences(docs: DataFrame) -> DataFrame:
-    """The licences of ``LICENCES`` as a table."""
-    rows = [F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in LICENCES]
-    return docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    """The known licences as a table."""
+    return docs.sparkSession.createDataFrame(known_texts(), "license string, text string")
 
 
 def licence_scan(

@@ -7,7 +7,9 @@ decreasing. Dual feasible functions give a lower bound on the sequences a
 partition's pieces need; where best fit reaches it the partition is certified.
 Partitions with a gap exchange the pieces of their sequences that are not full
 (certified ones only those of their emptiest sequence), and those are packed
-anew, for as long as that saves sequences.
+anew, for as long as that saves sequences. Each piece says whether the partition
+it was packed in is certified; ``certificate`` holds all of a packing against the
+bound of all its pieces.
 
 Defined results: a null text is empty and leaves its separator; repeated rows
 are packed each; an empty table gives an empty one; other columns are not read.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,6 @@ from shelfmark.llm.tokens import WIDTH, encoder
 SIZE = 2048
 SEPARATOR = 0
 PIECES_PER_PART = 2500
-ROUNDS = 4
 
 
 def cut(length: int, size: int) -> list[tuple[int, int]]:
@@ -48,13 +50,14 @@ def token_pieces(
     size: int = SIZE,
     separator: int = SEPARATOR,
     vocabulary: str | None = None,
+    special: bool = True,
 ) -> DataFrame:
     """Per piece: the document's id, ``piece``, ``start``, ``length`` and the
-    CRC-32 of its ids."""
+    CRC-32 of its ids. ``special``: strings of special tokens are those tokens."""
     end = np.array([separator], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).text
+        encode = encoder(vocabulary, special).text
         for batch in batches:
             rows = []
             for row, value in enumerate(batch.column(1)):
@@ -103,15 +106,20 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Sequences needed at least, by two families of dual feasible functions.
+    """Sequences that pieces of these lengths need at least."""
+    return bound_of_counts(np.bincount(lengths, minlength=size + 1), size)
+
+
+def bound_of_counts(count: np.ndarray, size: int) -> int:
+    """The bound for ``count[n]`` pieces of each length ``n``, by two families of
+    dual feasible functions.
 
     The first counts a piece over ``size - k`` as a whole sequence and drops
     those under ``k``; the second rounds lengths down to parts of a ``k``-th,
     as no more than ``k`` pieces over a ``k + 1``-th go together.
     """
-    if not len(lengths):
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=size + 1)
     value = np.arange(size + 1)
     total = np.concatenate([[0], np.cumsum(count * value)])  # of lengths below
     number = np.concatenate([[0], np.cumsum(count)])
@@ -128,6 +136,19 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
+def certificate(packed: DataFrame, size: int = SIZE) -> DataFrame:
+    """One row: ``n_sequences`` of a packing, and the ``lower_bound`` for its pieces.
+
+    No more than a row per length comes to the driver.
+    """
+    count = np.zeros(size + 1, np.int64)
+    for row in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        count[row["length"]] = row["n"]
+    return packed.agg(F.count_distinct("sequence_id").alias("n_sequences")).withColumn(
+        "lower_bound", F.lit(bound_of_counts(count, size)).cast("bigint")
+    )
+
+
 def _pack(size: int):
     def pack(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
@@ -143,6 +164,7 @@ def _pack(size: int):
                 **{c: table[c] for c in table.column_names if c != "part"},
                 "sequence_id": names[bins],
                 "offset": offsets,
+                "certified": np.full(len(bins), gap == 0),
                 "again": again[bins] & (fill[bins] < size),
             }
         )
@@ -152,7 +174,9 @@ def _pack(size: int):
 
 def _packed(pieces: DataFrame, parts: int, turn: int, size: int) -> DataFrame:
     schema = T.StructType(pieces.schema.fields)
-    for name, kind in (("sequence_id", "long"), ("offset", "long"), ("again", "boolean")):
+    for name, kind in (
+        ("sequence_id", "long"), ("offset", "long"), ("certified", "boolean"), ("again", "boolean"),
+    ):
         schema = schema.add(name, kind)
     part = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts))
     return pieces.withColumn("part", part).groupBy("part").applyInArrow(_pack(size), schema)
@@ -162,21 +186,24 @@ def best_fit_packing(
     pieces: DataFrame,
     size: int = SIZE,
     per_part: int = PIECES_PER_PART,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``.
+    """``pieces`` with ``sequence_id``, ``offset`` and ``certified``, whether the
+    partition that it was packed in needs as many sequences as it got.
 
     Only numbers move: a piece is its length and what the caller wants back. A
     partition holds about ``per_part`` pieces, whatever the size of the table.
     """
     columns = pieces.columns
     pieces = staged(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    kept = columns + ["sequence_id", "offset"]
+    kept = columns + ["sequence_id", "offset", "certified"]
     own = F.col("uid").alias("sequence_id")
-    done = [pieces.where(F.col("length") >= size).select(*columns, own, F.lit(0).cast("bigint").alias("offset"))]
+    start = F.lit(0).cast("bigint").alias("offset")
+    done = [
+        pieces.where(F.col("length") >= size).select(*columns, own, start, F.lit(True).alias("certified"))
+    ]
     loose = pieces.where(F.col("length") < size)
     before = None
-    for turn in range(rounds):
+    for turn in count():
         n = loose.count()
         if not n:
             break

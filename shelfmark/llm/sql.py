@@ -3,7 +3,7 @@ the plain way from what the operators are to return."""
 
 from __future__ import annotations
 
-from shelfmark.llm import licences
+from pathlib import Path
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -95,22 +95,69 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(text: str) -> str:
-    plain = f"regexp_replace(lower({text}), {_quoted(licences.COPYRIGHT_LINES)}, ' ', 'g')"
-    plain = f"trim(regexp_replace({plain}, {_quoted(licences.NOT_LETTERS)}, ' ', 'g'))"
-    for spelling, kept in licences.SPELLINGS:
-        plain = f"replace({plain}, {_quoted(spelling)}, {_quoted(kept)})"
-    return plain
+_LICENCE_FILES = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+_KNOWN = ", ".join(f"({_quoted(f.stem)}, {_quoted(f.read_text(encoding='utf-8'))})" for f in _LICENCE_FILES)
 
-
-_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licences.LICENCES)
-
-LICENCES = f"""
-    WITH known AS (
-      SELECT {_canonical("text")} AS plain, min(license) AS license
-      FROM (VALUES {_KNOWN}) AS t(license, text) GROUP BY plain)
-    SELECT doc_id, sha256(plain) AS canonical_sha256, length(plain) AS canonical_chars, license
-    FROM (SELECT doc_id, {_canonical("text")} AS plain FROM documents) LEFT JOIN known USING (plain)"""
+# what an operator that knows licences by their whole texts is to find, written
+# with words as lists and not as one string
+LICENCES = (
+    r"""
+    WITH spelt AS (
+      SELECT map {'licence': 'license', 'licences': 'licenses', 'licenced': 'licensed',
+                  'licencee': 'licensee', 'licencees': 'licensees', 'licencing': 'licensing', 'sublicence': 'sublicense',
+                  'acknowledgement': 'acknowledgment', 'acknowledgements': 'acknowledgments',
+                  'authorisation': 'authorization', 'authorised': 'authorized',
+                  'organisation': 'organization', 'organisations': 'organizations',
+                  'favour': 'favor', 'favourable': 'favorable', 'honour': 'honor', 'honoured': 'honored',
+                  'fulfilment': 'fulfillment', 'judgement': 'judgment', 'whilst': 'while',
+                  'programme': 'program', 'programmes': 'programs', 'analogue': 'analog'} AS m),
+    files(license, whole) AS (VALUES """
+    + _KNOWN
+    + r"""),
+    cut AS (
+      SELECT license, whole AS text FROM files
+      UNION
+      SELECT license, split_part(whole, 'END OF TERMS AND CONDITIONS', 1) || 'END OF TERMS AND CONDITIONS'
+      FROM files WHERE contains(whole, 'END OF TERMS AND CONDITIONS')),
+    headings(license, heading) AS (VALUES
+      ('MIT', 'MIT License'), ('MIT', 'The MIT License (MIT)'), ('MIT', 'The MIT License'),
+      ('ISC', 'ISC License'), ('0BSD', 'BSD Zero Clause License'), ('Zlib', 'zlib License'),
+      ('BSD-2-Clause', 'BSD 2-Clause License'), ('BSD-3-Clause', 'BSD 3-Clause License')),
+    known AS (
+      SELECT license, text FROM cut
+      UNION ALL SELECT license, heading || chr(10) || chr(10) || text FROM cut JOIN headings USING (license)),
+    everything AS (
+      SELECT row_number() OVER () AS uid, NULL AS license, doc_id, text FROM documents
+      UNION ALL SELECT NULL, license, NULL, text FROM known),
+    unnoticed AS (
+      SELECT uid, license, doc_id,
+             regexp_replace(
+               regexp_replace(
+                 regexp_replace(
+                   lower(text),
+                   'copyright[^\pL\pN]+(c[^\pL\pN]+)?(\d{4}[^\pL\pN]+)+free[^\pL\pN]+software[^\pL\pN]+foundation[^\pL\pN]+inc([^\pL\pN]+https[^\pL\pN]+fsf[^\pL\pN]+org)?', ' ', 'g'),
+                 'all[^\pL\pN]+rights[^\pL\pN]+reserved', ' ', 'g'),
+               '(?m)^[^\pL\n(]*(copyright[ \t]*(\(c\)|©)?|\(c\)|©)[ \t]*\d{4}[^\n]*$', ' ', 'g') AS text
+      FROM everything),
+    worded AS (
+      SELECT uid, license, doc_id,
+             ' ' || array_to_string(
+               list_transform(regexp_extract_all(text, '[\pL\pN]+'), lambda w: coalesce(m[w], w)), '  ') || ' ' AS words,
+             text IS NULL AS missing
+      FROM unnoticed, spelt),
+    plain AS (
+      SELECT uid, license, doc_id, CASE WHEN NOT missing THEN
+             trim(replace(replace(replace(replace(replace(replace(replace(words,
+                  ' sub  license ', ' sublicense '),
+                  ' merchantability  and  fitness ', ' merchantability  fitness '),
+                  ' non  infringement ', ' noninfringement '), ' per  cent ', ' percent '),
+                  ' copyright  owner ', ' copyright  holder '),
+                  ' copyright  owners ', ' copyright  holders '), '  ', ' ')) END AS plain
+      FROM worded),
+    named AS (SELECT plain, min(license) AS license FROM plain WHERE uid IS NULL GROUP BY plain)
+    SELECT doc_id, sha256(plain) AS canonical_sha256, length(plain) AS canonical_chars, named.license
+    FROM plain LEFT JOIN named USING (plain) WHERE uid IS NOT NULL"""
+)
 
 LINES = rf"""
     WITH d AS (

@@ -22,14 +22,14 @@ class Encoder:
 
     The vocabulary cuts a text before every space that a non-blank follows, so
     the ids of a text are those of its pieces between such places, and pieces
-    repeat (tests hold the ids against those of whole texts). Strings that look
-    like special tokens are ordinary text.
+    repeat (tests hold the ids against those of whole texts). Strings of special
+    tokens in a text are those tokens, or with ``special`` false ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
         self._known: dict[str, bytes] = {}
         self._stop = {s: self._ids(s) for s in _STOPS}
 
@@ -74,9 +74,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, special: bool = True) -> Encoder:
     """One encoder per vocabulary and Python worker; by default the 50k one of
     the public vocabularies."""
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), special)

@@ -3,8 +3,10 @@ nulls, empty and long texts, repeated rows, ties, clashing columns, no rows."""
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -418,16 +420,27 @@ def test_odd_pages(spark):
 # --- 7 packing and 8 counts ----------------------------------------------------
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
+def ids_by(special):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    """As the vocabulary is: the string of its special token is that token."""
+    return ids_by(True)
+
+
+@pytest.fixture(scope="module")
+def plain_tokenizer():
+    return ids_by(False)
+
+
 @pytest.mark.parametrize("size", [2048, 50])
-def test_packing(documents, odd, tokenizer, size):
-    for df in (documents, odd.where("doc_id is null or doc_id != 3")):
+def test_packing(spark, documents, odd, tokenizer, size):
+    special = spark.createDataFrame([(-1, "a<|endoftext|>b <|endoftext|>. c", "s", "n", 0)], odd.schema)
+    for df in (documents, odd.where("doc_id is null or doc_id != 3").union(special)):
         ids = {i: [*tokenizer(t), 0] for i, t in texts_of(df)}
         rows = packing.best_fit_packing(packing.token_pieces(df, size=size), size, per_part=40)
         rows = rows.collect()
@@ -452,47 +465,117 @@ def test_packing(documents, odd, tokenizer, size):
         bound = packing.lower_bound(np.array([r.length for r in rows]), size)
         assert len(sequences) <= bound * 1.02 + 1
         assert set(pieces) == set(ids)
+        plain = spark.createDataFrame([(r.length, r.sequence_id) for r in rows], "length int, sequence_id bigint")
+        assert tuple(packing.certificate(plain, size).first()) == (len(sequences), bound)
     assert packing.best_fit_packing(packing.token_pieces(odd.where("false"))).count() == 0
 
 
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, None)] * 3, "doc_id int, text string")
+    rows = packing.best_fit_packing(packing.token_pieces(df)).collect()
+    assert len(rows) == 9 and len({r.sequence_id for r in rows}) == 1
+    assert len({r.offset for r in rows}) == 9 and all(r.certified for r in rows)
+
+
+def test_rounds_go_on_while_they_save(spark):
+    rows = [(k, 0, 0, 300 + 7 * (k % 200), 0) for k in range(600)]
+    pieces = spark.createDataFrame(rows, "id int, piece int, start bigint, length bigint, ids_crc32 bigint")
+    packed = packing.best_fit_packing(pieces, per_part=20)
+    n, bound = packing.certificate(packed).first()
+    together = packing.best_fit(np.array([r[3] for r in rows]), packing.SIZE)[0].max() + 1
+    assert bound <= n <= 1.03 * together + 1
+
+
 def test_lower_bound_is_one():
     assert packing.lower_bound(np.array([6, 6, 6, 4, 4, 4]), 10) == 3
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3
     assert packing.lower_bound(np.array([], int), 10) == 0
 
 
-def test_ids_of_words_are_those_of_texts(documents, odd, tokenizer):
+def test_ids_of_words_are_those_of_texts(documents, odd, tokenizer, plain_tokenizer):
     from shelfmark.llm.tokens import encoder
 
     more = ["a  b", " a", "a ", "a \n b", "a\n b.  c", "it's, 's  ", "x.\t y,  z. ", "<|endoftext|> a"]
     for text in [t or "" for _, t in texts_of(documents) + texts_of(odd)] + more:
         assert np.frombuffer(encoder().text(text), "<u4").tolist() == tokenizer(text)
+        plain = encoder(special=False).text(text)
+        assert np.frombuffer(plain, "<u4").tolist() == plain_tokenizer(text)
 
 
 @pytest.mark.parametrize("block", [5, 1 << 20])
-def test_counts(spark, documents, odd, tokenizer, block):
+def test_counts(spark, documents, odd, plain_tokenizer, block):
     for df in (documents, odd):
         path = shared_folder(spark, "tokens")
         counts.write_token_files(df, path, docs_per_file=50)
         got = Counter(r.n_tokens for r in counts.token_counts(spark, path, block=block).collect())
-        assert got == Counter(len(tokenizer(t)) for _, t in texts_of(df))
+        assert got == Counter(len(plain_tokenizer(t)) for _, t in texts_of(df))
 
 
 # --- 9 licences ----------------------------------------------------------------
 
 
-def test_licences(spark):
-    mit = "Copyright (c) 2020 A. Body\n\n" + licences._MIT.upper().replace(",", " ,")
-    bsd = "# All rights reserved.\n" + (licences._BSD_TWO + licences._BSD_END).replace("\n", "\n# ")
-    unknown = spark.createDataFrame([("none", None), ("own", "Any words")], "license string, text string")
-    rows = [(1, mit, "x"), (2, bsd, "x"), (3, None, "x"), (4, "", "x"), (5, licences._MIT + " more", "x")]
+TEXTS = Path(licences.__file__).parent / "licence_texts"
+
+
+def rewrapped(text, width, mark=""):
+    """Every paragraph in lines of another width."""
+    parts = re.split(r"\n\s*\n", text)
+    lines = [x for p in parts for x in [*textwrap.wrap(" ".join(p.split()), width), ""]]
+    return "\n".join(mark + x for x in lines)
+
+
+def test_licences_at_every_width(spark):
+    rows = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text()
+        rows += [(file.stem, rewrapped(text, width)) for width in range(40, 121)]
+        rows += [(file.stem, "Copyright (c) 2020 A. Body\n" + text.upper().replace(",", " ,"))]
+        rows += [(file.stem, "# © 2021-2024 Some Body. All rights reserved.\n" + rewrapped(text, 66, "# "))]
+        rows += [(file.stem, text.replace("License", "Licence").replace("license ", "licence "))]
+    rows += [("MIT", "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + (TEXTS / "MIT.txt").read_text())]
+    apache = (TEXTS / "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", apache[: apache.index("APPENDIX")])]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(8)
+    got = licences.licence_scan(df).collect()
+    assert len(got) == len(rows) and [r for r in got if r.license != r.doc_id] == []
+
+
+def test_no_licences(spark):
+    mit = (TEXTS / "MIT.txt").read_text()
+    texts = [
+        None, "", mit + " more", mit[10:], mit.replace("copies", "programmes"), mit.replace("copies", ""),
+        "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Copyright 2020 A. Body",
+    ]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] * 2
     df = spark.createDataFrame(rows, "doc_id int, text string, license string")
-    got = {r.doc_id: r.license for r in licences.licence_scan(df).collect()}
-    assert got == {1: "MIT", 2: "BSD-2-Clause", 3: None, 4: None, 5: None}
+    got = licences.licence_scan(df).collect()
+    assert len(got) == len(rows) and {r.license for r in got} == {None}
+    assert {r.doc_id for r in got if r.canonical_sha256 is None} == {0}
+    assert {r.canonical_chars for r in got if r.doc_id in (1, 8)} == {0}
     assert licences.licence_scan(df.where("false")).count() == 0
+    unknown = spark.createDataFrame([("none", None), ("own", "Any words")], "license string, text string")
     assert {r.license for r in licences.licence_scan(df, unknown).collect()} == {None}
 
 
+def test_licence_sql_finds_licences(spark, tmp_path):
+    import duckdb
+
+    from shelfmark.llm.sql import SQL
+
+    rows = [(k, rewrapped(f.read_text(), 50)) for k, f in enumerate(sorted(TEXTS.glob("*.txt")))]
+    rows += [(97, None), (98, ""), (99, "The programme's licence: programmer, organisations. Per cent per cent.")]
+    folder = str(tmp_path)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    query = con.sql(SQL["op9_licence_scan"])
+    want = query.select("doc_id, canonical_sha256, canonical_chars, license").fetchall()
+    got = queries.op9_licence_scan(spark, folder).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(r.license is not None for r in got) == len(rows) - 3
+
+
 # --- plans ---------------------------------------------------------------------
 
 

@@ -480,7 +480,7 @@ def test_repeated_rows_are_packed_each(spark):
 def test_rounds_go_on_while_they_save(spark):
     rows = [(k, 0, 0, 300 + 7 * (k % 200), 0) for k in range(600)]
     pieces = spark.createDataFrame(rows, "id int, piece int, start bigint, length bigint, ids_crc32 bigint")
-    packed = packing.best_fit_packing(pieces, per_part=20)
+    packed = packing.best_fit_packing(pieces, per_part=150)
     n, bound = packing.certificate(packed).first()
     together = packing.best_fit(np.array([r[3] for r in rows]), packing.SIZE)[0].max() + 1
     assert bound <= n <= 1.03 * together + 1

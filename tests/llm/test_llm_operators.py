@@ -483,7 +483,7 @@ def test_rounds_go_on_while_they_save(spark):
     packed = packing.best_fit_packing(pieces, per_part=150)
     n, bound = packing.certificate(packed).first()
     together = packing.best_fit(np.array([r[3] for r in rows]), packing.SIZE)[0].max() + 1
-    assert bound <= n <= 1.03 * together + 1
+    assert bound <= n <= together + 2 * 4 + 2  # of four partitions each may lose one or two
 
 
 def test_lower_bound_is_one():

@@ -14,7 +14,7 @@ WIDTH = 4  # bytes of an id, little-endian and unsigned
 _DOUBLE = re.compile(r" \s")
 _STOPS = {".", ","}
 # words kept with their ids by each Python worker
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 
 class Encoder:

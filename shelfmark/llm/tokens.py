@@ -13,8 +13,8 @@ WIDTH = 4  # bytes of an id, little-endian and unsigned
 # a space before another blank: there words are not cut
 _DOUBLE = re.compile(r" \s")
 _STOPS = {".", ","}
-# words kept with their ids by each Python worker
-KEPT_WORDS = 150_000
+# words kept with their ids by each Python worker, about a quarter of a KB each
+KEPT_WORDS = 500_000
 
 
 class Encoder:
@@ -26,11 +26,12 @@ class Encoder:
     tokens in a text are those tokens, or with ``special`` false ordinary text.
     """
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, kept_words: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special
         self._known: dict[str, bytes] = {}
+        self._most = kept_words
         self._stop = {s: self._ids(s) for s in _STOPS}
 
     def _ids(self, piece: str) -> bytes:
@@ -43,7 +44,7 @@ class Encoder:
             ids = self(word[:-1]) + self._stop[word[-1]]
         else:
             ids = self._ids(" " + word)
-        if len(self._known) < KEPT_WORDS and len(word) < 64:
+        if len(self._known) < self._most and len(word) < 64:
             self._known[word] = ids
         return ids
 
@@ -74,9 +75,11 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str | None = None, special: bool = True) -> Encoder:
+def encoder(
+    path: str | None = None, special: bool = True, kept_words: int = KEPT_WORDS
+) -> Encoder:
     """One encoder per vocabulary and Python worker; by default the 50k one of
     the public vocabularies."""
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), special)
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), special, kept_words)

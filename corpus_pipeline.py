@@ -73,8 +73,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the packed sequences."""
-    pieces = packing.best_fit_packing(packing.token_pieces(docs))
+    """The pieces of all documents with their places in the packed sequences. Workers
+    hold what the other stages left too, so fewer words are kept."""
+    pieces = packing.best_fit_packing(packing.token_pieces(docs, kept_words=150_000))
     return pieces.withColumnRenamed("id", "doc_id")
 
 

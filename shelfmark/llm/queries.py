@@ -89,9 +89,9 @@ def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
-    counts.write_token_files(table(spark, d, "documents"), path)
-    found = counts.token_counts(spark, path)
-    return found.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    index = counts.write_token_files(table(spark, d, "documents"), path)
+    found = counts.document_counts(index, counts.token_counts(spark, path))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens")
 
 
 def op9_licence_scan(spark: SparkSession, d: str) -> DataFrame:

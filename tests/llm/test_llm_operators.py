@@ -506,9 +506,77 @@ def test_ids_of_words_are_those_of_texts(documents, odd, tokenizer, plain_tokeni
 def test_counts(spark, documents, odd, plain_tokenizer, block):
     for df in (documents, odd):
         path = shared_folder(spark, "tokens")
-        counts.write_token_files(df, path, docs_per_file=50)
-        got = Counter(r.n_tokens for r in counts.token_counts(spark, path, block=block).collect())
-        assert got == Counter(len(plain_tokenizer(t)) for _, t in texts_of(df))
+        index = counts.write_token_files(df, path, docs_per_file=50)
+        found = counts.token_counts(spark, path, block=block)
+        assert Counter(r.n_tokens for r in found.collect()) == Counter(
+            len(plain_tokenizer(t)) for _, t in texts_of(df)
+        )
+        linked = counts.document_counts(index, found).collect()
+        assert Counter((r.id, r.n_tokens) for r in linked) == Counter(
+            (i, len(plain_tokenizer(t))) for i, t in texts_of(df)
+        )
+
+
+def test_counts_of_documents_that_were_filtered(spark, documents, plain_tokenizer):
+    some = documents.where("doc_id % 3 = 1")
+    path = shared_folder(spark, "tokens")
+    index = counts.write_token_files(some, path, docs_per_file=7)
+    linked = counts.document_counts(index, counts.token_counts(spark, path)).collect()
+    expected = {i: len(plain_tokenizer(t)) for i, t in texts_of(some)}
+    assert len(linked) == len(expected) and {r.id: r.n_tokens for r in linked} == expected
+
+
+def test_counts_query_links_every_document(spark, documents, plain_tokenizer):
+    got = {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, SMALL).collect()}
+    assert got == {i: len(plain_tokenizer(t)) for i, t in texts_of(documents)}
+
+
+def brute_counts(ids, separator):
+    """(start, tokens) of the documents of a file."""
+    found, start = [], 0
+    for k, i in enumerate(ids):
+        if i == separator:
+            found.append((start, k - start))
+            start = k + 1
+    return found + ([(start, len(ids) - start)] if start < len(ids) else [])
+
+
+@pytest.mark.parametrize("width, separator", [(2, 50256), (2, 0), (2, 257), (4, 0), (4, 65537), (4, 7)])
+@pytest.mark.parametrize("task_bytes", [23, 1 << 27])
+def test_counts_of_files_shared_by_tasks(spark, tmp_path, width, separator, task_bytes):
+    rng = np.random.default_rng(separator + width)
+    # ids whose bytes, at odd places, look like the separator
+    near = [0, 1, 256, 257, 80, 196, 0x50C4, 0xC450, 65535]
+    near += [1 << 16, 65537, 1 << 24, 7 << 8, 7 << 24] if width == 4 else []
+    files = [[], [separator], [separator] * 9, [5], [48111, 191, 5, separator, 6], [48111, 0xBF]]
+    files += [rng.choice([separator, *near], n).tolist() for n in (1, 40, 41)]
+    files += [rng.choice([3, *near[2:]], 50).tolist()]
+    for k, ids in enumerate(files):
+        (tmp_path / f"f{k:02}").write_bytes(np.array(ids, f"<u{width}").tobytes())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, str(task_bytes))
+    try:
+        found = counts.token_counts(spark, str(tmp_path), separator, 16, width)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = found.collect()
+    for k, ids in enumerate(files):
+        own = sorted(
+            (r.ordinal, r.start, r.n_tokens) for r in found if r.path.endswith(f"/f{k:02}")
+        )
+        assert own == [(n, *d) for n, d in enumerate(brute_counts(ids, separator))], k
+
+
+def test_counts_refuse_broken_files_and_take_none(spark, tmp_path, odd):
+    (tmp_path / "f").write_bytes(b"abc")
+    with pytest.raises(Exception, match="not whole ids"):
+        counts.token_counts(spark, str(tmp_path)).collect()
+    path = shared_folder(spark, "tokens")
+    index = counts.write_token_files(odd.limit(0), path)
+    assert counts.document_counts(index, counts.token_counts(spark, path)).count() == 0
 
 
 # --- 9 licences ----------------------------------------------------------------

@@ -8,14 +8,22 @@ form a phrase, and a phrase overlaps the next one by so much that every string
 lies in exactly one. The corpus is then its dictionary of different phrases and
 the parse, which says where each occurs.
 
-The order of all suffixes of the corpus follows from the order of the suffixes
-of the dictionary's phrases, with occurrences counted by the parse. A phrase
-that occurs twice is a repeat as a whole. Only phrases that share their trigger
-string with a different phrase can share a part with it; the suffixes of those
-are sorted against each other, per trigger string, and equal neighbours are
-repeats. A trigger string in more phrases than one task should sort (a passage
-that very many documents quote, each within other words) has the strings of its
-phrases counted by digest instead, which is combined before any shuffle.
+A string is cut at its trigger in two: a suffix of the phrase up to and with the
+trigger, and a prefix of what the parse goes on with from the trigger. No string
+can be cut otherwise, so two strings are equal if both parts are. Two suffix
+arrays order the parts. That of the dictionary has the phrases up to their
+triggers, compared from the trigger backwards, so that phrases with a common
+suffix are neighbours; that of the parse has what follows each trigger. The
+length that neighbours have in common gives, for each length, the first place
+with the same bytes: a rank. The pair of ranks is a string's place in the order
+of the corpus, and strings with equal pairs are repeats.
+
+Only phrases that share their trigger string with a different phrase need this;
+a phrase that occurs twice is a repeat as a whole. Both arrays are sorted by
+ranges, so a trigger in a third of all documents is shared by many tasks, and
+classes of equal parts that go over the border of a range take the rank that
+they have in the range before. Of the strings only those go on whose two parts
+are both held by another phrase.
 
 Defined results: a null text is empty and nothing of it is removed; equal texts
 are copies of each other, also as repeated rows; strings shorter than the
@@ -31,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +52,6 @@ LENGTH = 200
 TRIGGER = 64  # a power of two
 BUFFER = 1 << 20  # bytes that are parsed at once; places in it take 20 bits
 ROWS = 1000  # texts whose phrases are held at once
-MOST_SORTED = 2000  # phrases of one trigger string that one task sorts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -75,8 +83,9 @@ def _signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-# trigger string, phrase, place of the phrase, strings starting in it
-Phrase = tuple[int, int, int, int]
+# trigger string, phrase, place of the phrase, strings starting in it, place of the
+# trigger in the phrase
+Phrase = tuple[int, int, int, int, int]
 
 
 def phrases(texts: list[bytes], length: int, trigger: int) -> list[list[Phrase]]:
@@ -120,13 +129,20 @@ def phrases(texts: list[bytes], length: int, trigger: int) -> list[list[Phrase]]
                     _signed(digest(data[begin : begin + c + length - 1], t - begin)),
                     begin - int(starts[k]) + offset,
                     c,
+                    t - begin,
                 )
             )
     return found
 
 
 _PHRASE = pa.struct(
-    [("key", pa.int64()), ("phrase", pa.int64()), ("at", pa.int64()), ("strings", pa.int32())]
+    [
+        ("key", pa.int64()),
+        ("phrase", pa.int64()),
+        ("at", pa.int64()),
+        ("strings", pa.int32()),
+        ("lead", pa.int32()),
+    ]
 )
 
 
@@ -143,7 +159,7 @@ def parse(texts: DataFrame, length: int, trigger: int) -> DataFrame:
             own = phrases([t.as_py().encode() for t in batch.column(2)], length, trigger)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in own])])
             flat = [p for text in own for p in text]
-            columns = zip(*flat) if flat else [()] * 4
+            columns = zip(*flat) if flat else [()] * len(_PHRASE)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, _PHRASE)]
             struct = pa.StructArray.from_arrays(arrays, names=[f.name for f in _PHRASE])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
@@ -154,7 +170,7 @@ def parse(texts: DataFrame, length: int, trigger: int) -> DataFrame:
     return texts.mapInArrow(
         parsed,
         "d1 bigint, d2 bigint,"
-        " phrases array<struct<key:bigint,phrase:bigint,at:bigint,strings:int>>",
+        " phrases array<struct<key:bigint,phrase:bigint,at:bigint,strings:int,lead:int>>",
     )
 
 
@@ -174,29 +190,6 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return removed, runs, digest.hexdigest()
 
 
-def repeated_suffixes(group: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, int]]:
-    """Of the phrases (name, occurrences, text) of one trigger string: the
-    (name, place) of every string that occurs twice or more in the corpus.
-
-    Sorts the suffixes; equal ones are neighbours then.
-    """
-    suffixes = [
-        (i, at)
-        for i, (_, _, text) in enumerate(group)
-        for at in range(len(text) - length + 1)
-    ]
-    suffixes.sort(key=lambda s: group[s[0]][2][s[1] : s[1] + length])
-    run: list[tuple[int, int]] = []
-    before = None
-    for i, at in [*suffixes, (-1, 0)]:
-        string = group[i][2][at : at + length] if i >= 0 else None
-        if string != before:
-            if sum(group[j][1] for j, _ in run) > 1:
-                yield from ((group[j][0], place) for j, place in run)
-            run, before = [], string
-        run.append((i, at))
-
-
 def _runs(places: list[int]) -> list[tuple[int, int]]:
     """First and last of every run of neighbouring numbers."""
     runs: list[list[int]] = []
@@ -208,48 +201,198 @@ def _runs(places: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def _sorted_out(length: int):
-    """Over slices sorted by trigger string: the repeats inside phrases that
-    occur once, as runs of places."""
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes at the start are the same."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    k = int(differ.argmax()) if n else 0
+    return k if n and differ[k] else n
+
+
+# Of a part in its suffix array: its range, the bytes in common with a neighbour,
+# and its ranks as (from this length on, rank). The first and the last of a range
+# (edge 1, 2, or 3 for both) come with their bytes and the ranks of all lengths.
+_RANKED = (
+    "key bigint, phrase bigint, lead int, strings int, single boolean,"
+    " range long, edge int, reach int, lengths array<int>, ranks array<long>, part binary"
+)
+_RANGE = 40  # a rank is the number of its range and, in so many bits, a place in it
+
+
+def _ranked(length: int, trigger: int, schema: pa.Schema):
+    """Over the parts of one range in order (``key, phrase, lead, strings, single,
+    part``): their ranks, of parts that have their trigger in common with another."""
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, seen = None, [], set()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId()
+        first = np.full(length + 1, own << _RANGE)
+        held, n, before = None, 0, 0
 
-        def repeats():
-            places: dict[int, list[int]] = {}
-            for name, place in repeated_suffixes(group, length):
-                places.setdefault(name, []).append(place)
-            single = {name for name, n, _ in group if n == 1}
-            return [
-                (key, name, a, b)
-                for name, own in places.items()
-                if name in single
-                for a, b in _runs(own)
-            ]
+        def row(after: int, last: bool):
+            edge = (n == 1) + 2 * last
+            reach = max(before, after)
+            upto = min(len(held[-1]), length) if edge else reach
+            if upto < trigger:
+                return
+            ranks = first[trigger : upto + 1]
+            new = np.concatenate([[0], np.flatnonzero(np.diff(ranks)) + 1])
+            part = held[-1].tobytes() if edge else None
+            yield (*held[:-1], own, edge, reach, (new + trigger).tolist(), ranks[new].tolist(), part)
 
         def made(rows):
-            columns = zip(*rows) if rows else [()] * 4
+            columns = zip(*rows) if rows else [()] * len(schema)
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["key", "phrase", "low", "high"]
+                [pa.array(c, f.type) for c, f in zip(columns, schema)], names=schema.names
             )
 
         for batch in batches:
             rows = []
-            for k, name, n, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if k != key:
-                    rows += repeats()
-                    key, group, seen = k, [], set()
-                if name not in seen:  # copies of a document give the same slice
-                    seen.add(name)
-                    group.append((name, n, text))
+            for *who, part in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(part, np.uint8)
+                if held is not None:
+                    after = common(held[-1], part)
+                    rows += row(after, False)
+                    before = after
+                    first[after + 1 :] = (own << _RANGE) + n
+                held, n = (*who, part), n + 1
             yield made(rows)
-        yield made(repeats())
+        yield made(list(row(0, True)) if held is not None else [])
+
+    return scan
+
+
+def _expanded(lengths: list[int], ranks: list[int], trigger: int, upto: int) -> np.ndarray:
+    """The rank for each length from ``trigger`` to ``upto``."""
+    wanted = np.arange(trigger, upto + 1)
+    return np.asarray(ranks, np.int64)[np.searchsorted(lengths, wanted, "right") - 1]
+
+
+# by range: bytes in common with the range before, ranks there, bytes in common with
+# the range after
+Borders = dict[int, tuple[int, np.ndarray, int]]
+
+
+def borders(edges: list, length: int, trigger: int) -> Borders:
+    """What parts at the borders of ranges have in common; ``edges`` are the first
+    and last rows of all ranges, two of each."""
+    firsts = {e["range"]: e for e in edges if e["edge"] & 1}
+    lasts = {e["range"]: e for e in edges if e["edge"] & 2}
+    found: Borders = {}
+    shared, ranks = 0, np.zeros(0, np.int64)
+    order = sorted(firsts)
+    for own, following in zip(order, [*order[1:], None]):
+        last = lasts[own]
+        after = 0
+        if following is not None:
+            parts = (np.frombuffer(e["part"], np.uint8) for e in (last, firsts[following]))
+            after = min(common(*parts), length)
+        found[own] = (shared, ranks, after)
+        below = _expanded(last["lengths"], last["ranks"], trigger, after)
+        shared, ranks = after, _over_border(below, own, ranks)
+    return found
+
+
+def _over_border(ranks: np.ndarray, own: int, above: np.ndarray) -> np.ndarray:
+    """``ranks`` with those of the range before where the part goes on from there."""
+    n = min(len(ranks), len(above))
+    ranks[:n] = np.where(ranks[:n] == own << _RANGE, above[:n], ranks[:n])
+    return ranks
+
+
+def _whole(side: dict, around: Borders, trigger: int) -> np.ndarray:
+    """The ranks of a part for the lengths that it has in common with another."""
+    own, edge, reach = side["range"], side["edge"], side["reach"]
+    shared, above, after = around[own]
+    if edge & 1:
+        reach = max(reach, shared)
+    if edge & 2:
+        reach = max(reach, after)
+    return _over_border(_expanded(side["lengths"], side["ranks"], trigger, reach), own, above)
+
+
+def _paired(length: int, trigger: int, left: Borders, right: Borders):
+    """Over phrases with the ranks of both parts: the strings whose parts are both
+    held by another phrase, with their two ranks."""
+    names = ["key", "phrase", "single", "at", "size", "left", "right"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+                found = [[np.zeros(0, np.int64)] for _ in names]
+                for p in part.to_pylist():
+                    a = _whole(p["a"], left, trigger)
+                    b = _whole(p["b"], right, trigger)
+                    # the string at ``at`` has ``size`` bytes up to the trigger's end
+                    # and ``length + trigger - size`` from its start
+                    low = max(0, p["lead"] + 1 - len(a))
+                    high = min(p["strings"], len(b) + trigger + p["lead"] - length)
+                    if low >= high:
+                        continue
+                    at = np.arange(low, high)
+                    size = p["lead"] + trigger - at
+                    same = [np.full(len(at), p[c]) for c in ("key", "phrase", "single")]
+                    ranks = [a[size - trigger], b[at + length - p["lead"] - trigger]]
+                    for column, values in zip(found, [*same, at, size, *ranks]):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(k.to_pandas_dtype())) for c, k in zip(found, kinds)],
+                    names=names,
+                )
+
+    return pair, "key bigint, phrase bigint, single boolean, at int, size int, left bigint, right bigint"
+
 
-    return resolve
+def repeated_strings(entries: DataFrame, length: int, trigger: int) -> DataFrame:
+    """Of the phrases in ``entries`` (``key, phrase, n, lead, strings, text``), those
+    that occur once: ``key``, ``phrase`` and the ``places`` (a phrase has no more
+    than ``length``) of strings that another phrase holds too.
+    """
+
+    def array(part: Column, purpose: str) -> tuple[DataFrame, Borders]:
+        parts = entries.select(
+            "key", "phrase", "lead", "strings", (F.col("n") == 1).alias("single"), part.alias("part")
+        )
+        schema = T.StructType.fromDDL(_RANKED)
+        scan = _ranked(length, trigger, to_arrow_schema(schema))
+        ranked = staged(
+            parts.repartitionByRange("part", "phrase")
+            .sortWithinPartitions("part", "phrase", "key")
+            .mapInArrow(scan, schema),
+            purpose,
+        )
+        edges = ranked.where("edge > 0").collect()
+        return ranked.drop("part"), borders(edges, length, trigger)
+
+    # compared from the trigger's end backwards
+    text = F.col("text")
+    upto = F.substring(text, F.lit(1), F.col("lead") + trigger)
+    backwards = F.unhex(F.regexp_replace(F.reverse(F.hex(upto)), "(.)(.)", "$2$1"))
+    dictionary, left = array(backwards, "dictionary-suffixes")
+    onwards = F.substring(text, F.col("lead") + 1, F.lit(length))
+    parse, right = array(onwards, "parse-suffixes")
+
+    side = ["range", "edge", "reach", "lengths", "ranks"]
+    pair, schema = _paired(length, trigger, left, right)
+    both = dictionary.select("key", "phrase", "lead", "strings", "single", F.struct(*side).alias("a")).join(
+        parse.select("key", "phrase", F.struct(*side).alias("b")), ["key", "phrase"]
+    )
+    strings = staged(both.mapInArrow(pair, schema), "strings")
+    place = ["size", "left", "right"]
+    often = strings.groupBy(*(F.col(c).alias(f"_{c}") for c in place)).agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    often = often.where("times > 1")
+    return (
+        strings.where("single")
+        .join(often, null_safe(strings, often, [(c, f"_{c}") for c in place]), "left_semi")
+        .groupBy("key", "phrase")
+        .agg(F.collect_list("at").alias("places"))
+    )
 
 
 def _step_schema(id_type: T.DataType) -> T.StructType:
-    long, binary = T.LongType(), T.BinaryType()
+    long, integer, binary = T.LongType(), T.IntegerType(), T.BinaryType()
 
     def rows(**fields):
         return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
@@ -261,9 +404,9 @@ def _step_schema(id_type: T.DataType) -> T.StructType:
             T.StructField("kept_sha256", T.StringType()),
             T.StructField("open", binary),
             T.StructField("spans", rows(low=long, high=long)),
-            T.StructField("slices", rows(key=long, phrase=long, n=long, text=binary)),
             T.StructField(
-                "strings", rows(key=long, phrase=long, n=long, at=long, s1=long, s2=long)
+                "slices",
+                rows(key=long, phrase=long, n=long, lead=integer, strings=integer, text=binary),
             ),
         ]
     )
@@ -279,32 +422,25 @@ def _first_look(length: int):
             notes = batch.column(4).to_pylist()
             for row, (value, own) in enumerate(zip(batch.column(3), notes)):
                 text = value.as_py().encode()
-                spans, slices, strings, open_text = [], [], [], None
+                spans, slices, open_text = [], [], None
                 for note in own or ():
                     at, c, n = note["at"], note["strings"], note["n"]
                     if not note["asked"]:
                         spans.append((at, at + c + length - 1))
                         continue
-                    name = {"key": note["key"], "phrase": note["phrase"], "n": n}
                     if n == 1:
                         open_text = text
-                    part = text[at : at + c + length - 1]
-                    if not note["hot"]:
-                        slices.append(name | {"text": part})
-                        continue
-                    for k in range(c):
-                        whole = xxhash.xxh3_128_intdigest(part[k : k + length])
-                        low, high = whole & ((1 << 64) - 1), whole >> 64
-                        strings.append(name | {"at": k, "s1": _signed(low), "s2": _signed(high)})
+                    entry = {c: note[c] for c in ("key", "phrase", "n", "lead", "strings")}
+                    slices.append(entry | {"text": text[at : at + c + length - 1]})
                 removed, runs, digest = (None, None, None)
                 if open_text is None:
                     removed, runs, digest = kept(text, spans)
                     spans = []
                 rows.append(
                     (len(text), removed, runs, digest, open_text,
-                     [{"low": a, "high": b} for a, b in spans], slices, strings)
+                     [{"low": a, "high": b} for a, b in spans], slices)
                 )
-            columns = list(zip(*rows)) if rows else [()] * 8
+            columns = list(zip(*rows)) if rows else [()] * 7
             arrays = [batch.column(k) for k in range(3)]
             arrays += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[3:])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -318,7 +454,6 @@ def remove_repeats(
     text: str = "text",
     length: int = LENGTH,
     trigger: int = TRIGGER,
-    most_sorted: int = MOST_SORTED,
 ) -> DataFrame:
     """Per row of ``docs``: its id, ``n_bytes``, ``n_removed``, ``n_spans`` and
     ``kept_sha256``, every byte being removed that a string of ``length`` bytes
@@ -347,37 +482,33 @@ def remove_repeats(
     dictionary = staged(
         placed.groupBy("key", "phrase").agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("uid", "at", "strings")).alias("one"),
+            F.min(F.struct("uid", "at", "strings", "lead")).alias("one"),
         ),
         "dictionary",
     )
     mixed = dictionary.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("different"))
     mixed = mixed.where("different > 1")
     asked = dictionary.join(mixed, null_safe(dictionary, mixed, [("key", "of")])).select(
-        "key",
-        "phrase",
-        "n",
-        "one.*",
-        (F.col("different") > most_sorted).alias("hot"),
+        "key", "phrase", "n", "one.*"
     )
     repeats = dictionary.where("n > 1").select("key", "phrase", "n")
     sure = placed.join(repeats, ["key", "phrase"]).select(
         "uid",
         F.struct(
             F.lit(False).alias("asked"),
-            F.lit(False).alias("hot"),
             F.lit(0).cast("bigint").alias("key"),
             F.lit(0).cast("bigint").alias("phrase"),
             "n",
             "at",
             "strings",
+            F.lit(0).alias("lead"),
         ).alias("note"),
     )
     asking = asked.select(
         "uid",
-        F.struct(F.lit(True).alias("asked"), "hot", "key", "phrase", "n", "at", "strings").alias(
-            "note"
-        ),
+        F.struct(
+            F.lit(True).alias("asked"), "key", "phrase", "n", "at", "strings", "lead"
+        ).alias("note"),
     )
     owners = parsed.select("uid", "d1", "d2")
     notes = (
@@ -394,39 +525,27 @@ def remove_repeats(
         .mapInArrow(lambda batches: look(batches, arrow), schema),
         "seen",
     )
-    slices = seen.select(F.inline("slices")).repartition("key").sortWithinPartitions("key", "phrase")
-    sorted_out = slices.mapInArrow(
-        _sorted_out(length), "key bigint, phrase bigint, low bigint, high bigint"
-    )
-    strings = seen.select(F.inline("strings")).distinct()
-    often = strings.groupBy(F.col("s1").alias("o1"), F.col("s2").alias("o2"))
-    often = often.agg(F.sum("n").alias("times")).where("times > 1")
-    counted = (
-        strings.where("n = 1")
-        .join(often, null_safe(strings, often, [("s1", "o1"), ("s2", "o2")]))
-        .select("key", "phrase", F.col("at").alias("low"), F.col("at").alias("high"))
-    )
+    # copies of a document give the same slices
+    slices = seen.select(F.inline("slices")).groupBy("key", "phrase", "n", "lead", "strings")
+    entries = staged(slices.agg(F.max("text").alias("text")), "entries")
     more = (
-        sorted_out.union(counted)
+        repeated_strings(entries, length, trigger)
         .join(asked.select("key", "phrase", "uid", "at"), ["key", "phrase"])
         .join(owners, "uid")
         .groupBy("d1", "d2")
-        .agg(
-            F.collect_set(
-                F.struct(
-                    (F.col("at") + F.col("low")).alias("low"),
-                    (F.col("at") + F.col("high") + length).alias("high"),
-                )
-            ).alias("more")
-        )
+        .agg(F.collect_list(F.struct("at", "places")).alias("more"))
     )
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, *spans in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3))):
-                own = [(s["low"], s["high"]) for part in spans for s in part or ()]
+            for value, spans, more in zip(
+                batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3))
+            ):
+                own = [(s["low"], s["high"]) for s in spans]
+                for m in more or ():
+                    own += [(m["at"] + a, m["at"] + b + length) for a, b in _runs(m["places"])]
                 content = value.as_py()
                 rows.append((len(content), *kept(content, own)))
             columns = zip(*rows) if rows else [()] * 4

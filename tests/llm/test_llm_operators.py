@@ -267,8 +267,8 @@ def brute_repeats(texts, length):
         yield len(t), sum(gone), spans, hashlib.sha256(left).hexdigest()
 
 
-@pytest.mark.parametrize("most_sorted", [2000, 1])
-def test_repeats(spark, odd, most_sorted):
+@pytest.mark.parametrize("ranges", [8, 61])
+def test_repeats(spark, odd, ranges, monkeypatch):
     rng = np.random.default_rng(1)
     words = ["ab", "é", "aa", "bé a", "b"]
     base = [" ".join(rng.choice(words, 200)) for _ in range(3)]
@@ -278,19 +278,43 @@ def test_repeats(spark, odd, most_sorted):
         rows.append((20 + k, " ".join(rng.choice(words, 30)) + text[at : at + int(rng.integers(400))]))
     df = spark.createDataFrame(rows, "doc_id int, text string")
     want = Counter((i, *r) for (i, _), r in zip(rows, brute_repeats([t for _, t in rows], 200)))
-    got = suffixes.remove_repeats(df, most_sorted=most_sorted)
+    monkeypatch.setattr(type(df), "repartitionByRange", ranged(df, ranges))
+    got = suffixes.remove_repeats(df)
     assert Counter(map(tuple, got.collect())) == want
-    if most_sorted == 1:
+    if ranges == 8:
         assert suffixes.remove_repeats(df.where("false")).count() == 0
 
 
+def ranged(df, n):
+    """``repartitionByRange`` into ``n`` ranges that are not put together again."""
+    plain = type(df).repartitionByRange
+    return lambda df, *columns: plain(df, n, *columns)
+
+
+def test_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def words(n):
+        return " ".join(map(str, rng.integers(100, 1000, n)))
+
+    passage = words(150)
+    rows = [
+        (k, words(40) + (passage if k % 3 == 0 else words(100)) + words(40)) for k in range(300)
+    ]
+    rows += [(300 + k, words(30) + passage[150 + k : 450 + k]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = Counter((i, *r) for (i, _), r in zip(rows, brute_repeats([t for _, t in rows], 200)))
+    monkeypatch.setattr(type(df), "repartitionByRange", ranged(df, 37))
+    assert Counter(map(tuple, suffixes.remove_repeats(df).collect())) == want
+
+
 def test_long_texts_are_parsed_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     text = rng.integers(97, 123, 9000, dtype=np.uint8).tobytes()
     monkeypatch.setattr(suffixes, "BUFFER", 1 << 12)
     found = suffixes.phrases([text, b"", text[:5000]], 200, 64)
     for own, size in zip(found, (9000, 0, 5000)):
-        places = [at + k for _, _, at, n in own for k in range(n)]
+        places = [at + k for _, _, at, n, _ in own for k in range(n)]
         assert sorted(places) == list(range(max(0, size - 199)))
 
 

@@ -213,14 +213,14 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 # and its ranks as (from this length on, rank). The first and the last of a range
 # (edge 1, 2, or 3 for both) come with their bytes and the ranks of all lengths.
 _RANKED = (
-    "key bigint, phrase bigint, lead int, strings int, single boolean,"
+    "uid bigint, at bigint, lead int, strings int, single boolean,"
     " range long, edge int, reach int, lengths array<int>, ranks array<long>, part binary"
 )
 _RANGE = 40  # a rank is the number of its range and, in so many bits, a place in it
 
 
 def _ranked(length: int, trigger: int, schema: pa.Schema):
-    """Over the parts of one range in order (``key, phrase, lead, strings, single,
+    """Over the parts of one range in order (``uid, at, lead, strings, single,
     part``): their ranks, of parts that have their trigger in common with another."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +313,8 @@ def _whole(side: dict, around: Borders, trigger: int) -> np.ndarray:
 def _paired(length: int, trigger: int, left: Borders, right: Borders):
     """Over phrases with the ranks of both parts: the strings whose parts are both
     held by another phrase, with their two ranks."""
-    names = ["key", "phrase", "single", "at", "size", "left", "right"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["uid", "single", "place", "size", "left", "right"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,41 +323,39 @@ def _paired(length: int, trigger: int, left: Borders, right: Borders):
                 for p in part.to_pylist():
                     a = _whole(p["a"], left, trigger)
                     b = _whole(p["b"], right, trigger)
-                    # the string at ``at`` has ``size`` bytes up to the trigger's end
+                    # the string at ``k`` has ``size`` bytes up to the trigger's end
                     # and ``length + trigger - size`` from its start
                     low = max(0, p["lead"] + 1 - len(a))
                     high = min(p["strings"], len(b) + trigger + p["lead"] - length)
                     if low >= high:
                         continue
-                    at = np.arange(low, high)
-                    size = p["lead"] + trigger - at
-                    same = [np.full(len(at), p[c]) for c in ("key", "phrase", "single")]
-                    ranks = [a[size - trigger], b[at + length - p["lead"] - trigger]]
-                    for column, values in zip(found, [*same, at, size, *ranks]):
+                    k = np.arange(low, high)
+                    size = p["lead"] + trigger - k
+                    same = [np.full(len(k), p[c]) for c in ("uid", "single")]
+                    ranks = [a[size - trigger], b[k + length - p["lead"] - trigger]]
+                    for column, values in zip(found, [*same, p["at"] + k, size, *ranks]):
                         column.append(values)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).astype(k.to_pandas_dtype())) for c, k in zip(found, kinds)],
                     names=names,
                 )
 
-    return pair, "key bigint, phrase bigint, single boolean, at int, size int, left bigint, right bigint"
+    return pair, "uid bigint, single boolean, place bigint, size int, left bigint, right bigint"
 
 
 def repeated_strings(entries: DataFrame, length: int, trigger: int) -> DataFrame:
-    """Of the phrases in ``entries`` (``key, phrase, n, lead, strings, text``), those
-    that occur once: ``key``, ``phrase`` and the ``places`` (a phrase has no more
-    than ``length``) of strings that another phrase holds too.
+    """Of the phrases in ``entries`` (``uid, at, single, lead, strings, text``), those
+    that are ``single`` in the corpus: ``uid`` and, in its text, the ``places`` of
+    strings that another phrase holds too.
     """
 
     def array(part: Column, purpose: str) -> tuple[DataFrame, Borders]:
-        parts = entries.select(
-            "key", "phrase", "lead", "strings", (F.col("n") == 1).alias("single"), part.alias("part")
-        )
+        parts = entries.select("uid", "at", "lead", "strings", "single", part.alias("part"))
         schema = T.StructType.fromDDL(_RANKED)
         scan = _ranked(length, trigger, to_arrow_schema(schema))
         ranked = staged(
-            parts.repartitionByRange("part", "phrase")
-            .sortWithinPartitions("part", "phrase", "key")
+            parts.repartitionByRange("part", "uid", "at")
+            .sortWithinPartitions("part", "uid", "at")
             .mapInArrow(scan, schema),
             purpose,
         )
@@ -374,9 +372,9 @@ def repeated_strings(entries: DataFrame, length: int, trigger: int) -> DataFrame
 
     side = ["range", "edge", "reach", "lengths", "ranks"]
     pair, schema = _paired(length, trigger, left, right)
-    both = dictionary.select("key", "phrase", "lead", "strings", "single", F.struct(*side).alias("a")).join(
-        parse.select("key", "phrase", F.struct(*side).alias("b")), ["key", "phrase"]
-    )
+    both = dictionary.select(
+        "uid", "at", "lead", "strings", "single", F.struct(*side).alias("a")
+    ).join(parse.select("uid", "at", F.struct(*side).alias("b")), ["uid", "at"])
     strings = staged(both.mapInArrow(pair, schema), "strings")
     place = ["size", "left", "right"]
     often = strings.groupBy(*(F.col(c).alias(f"_{c}") for c in place)).agg(
@@ -386,8 +384,8 @@ def repeated_strings(entries: DataFrame, length: int, trigger: int) -> DataFrame
     return (
         strings.where("single")
         .join(often, null_safe(strings, often, [(c, f"_{c}") for c in place]), "left_semi")
-        .groupBy("key", "phrase")
-        .agg(F.collect_list("at").alias("places"))
+        .groupBy("uid")
+        .agg(F.collect_list("place").alias("places"))
     )
 
 
@@ -406,7 +404,14 @@ def _step_schema(id_type: T.DataType) -> T.StructType:
             T.StructField("spans", rows(low=long, high=long)),
             T.StructField(
                 "slices",
-                rows(key=long, phrase=long, n=long, lead=integer, strings=integer, text=binary),
+                rows(
+                    uid=long,
+                    at=long,
+                    single=T.BooleanType(),
+                    lead=integer,
+                    strings=integer,
+                    text=binary,
+                ),
             ),
         ]
     )
@@ -424,14 +429,13 @@ def _first_look(length: int):
                 text = value.as_py().encode()
                 spans, slices, open_text = [], [], None
                 for note in own or ():
-                    at, c, n = note["at"], note["strings"], note["n"]
-                    if not note["asked"]:
-                        spans.append((at, at + c + length - 1))
+                    at, end = note["at"], note["at"] + note["strings"] + length - 1
+                    if note["uid"] is None:
+                        spans.append((at, end))
                         continue
-                    if n == 1:
+                    if note["single"]:
                         open_text = text
-                    entry = {c: note[c] for c in ("key", "phrase", "n", "lead", "strings")}
-                    slices.append(entry | {"text": text[at : at + c + length - 1]})
+                    slices.append(note | {"text": text[at:end]})
                 removed, runs, digest = (None, None, None)
                 if open_text is None:
                     removed, runs, digest = kept(text, spans)
@@ -489,26 +493,22 @@ def remove_repeats(
     mixed = dictionary.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("different"))
     mixed = mixed.where("different > 1")
     asked = dictionary.join(mixed, null_safe(dictionary, mixed, [("key", "of")])).select(
-        "key", "phrase", "n", "one.*"
+        "n", "one.*"
     )
-    repeats = dictionary.where("n > 1").select("key", "phrase", "n")
+    repeats = dictionary.where("n > 1").select("key", "phrase")
     sure = placed.join(repeats, ["key", "phrase"]).select(
         "uid",
         F.struct(
-            F.lit(False).alias("asked"),
-            F.lit(0).cast("bigint").alias("key"),
-            F.lit(0).cast("bigint").alias("phrase"),
-            "n",
+            F.lit(None).cast("bigint").alias("uid"),
             "at",
-            "strings",
+            F.lit(False).alias("single"),
             F.lit(0).alias("lead"),
+            "strings",
         ).alias("note"),
     )
     asking = asked.select(
         "uid",
-        F.struct(
-            F.lit(True).alias("asked"), "key", "phrase", "n", "at", "strings", "lead"
-        ).alias("note"),
+        F.struct("uid", "at", (F.col("n") == 1).alias("single"), "lead", "strings").alias("note"),
     )
     owners = parsed.select("uid", "d1", "d2")
     notes = (
@@ -525,27 +525,25 @@ def remove_repeats(
         .mapInArrow(lambda batches: look(batches, arrow), schema),
         "seen",
     )
-    # copies of a document give the same slices
-    slices = seen.select(F.inline("slices")).groupBy("key", "phrase", "n", "lead", "strings")
+    # copies of a document give the same slices; a phrase is known by the first place
+    # it has, so of equal texts one only is the owner of phrases
+    slices = seen.select(F.inline("slices")).groupBy("uid", "at", "single", "lead", "strings")
     entries = staged(slices.agg(F.max("text").alias("text")), "entries")
     more = (
         repeated_strings(entries, length, trigger)
-        .join(asked.select("key", "phrase", "uid", "at"), ["key", "phrase"])
         .join(owners, "uid")
-        .groupBy("d1", "d2")
-        .agg(F.collect_list(F.struct("at", "places")).alias("more"))
+        .select("d1", "d2", "places")
     )
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, spans, more in zip(
+            for value, spans, places in zip(
                 batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3))
             ):
                 own = [(s["low"], s["high"]) for s in spans]
-                for m in more or ():
-                    own += [(m["at"] + a, m["at"] + b + length) for a, b in _runs(m["places"])]
+                own += [(a, b + length) for a, b in _runs(places or [])]
                 content = value.as_py()
                 rows.append((len(content), *kept(content, own)))
             columns = zip(*rows) if rows else [()] * 4
@@ -560,7 +558,7 @@ def remove_repeats(
         seen.where("open is not null")
         .select("id", "d1", "d2", "open", "spans")
         .join(more, ["d1", "d2"], "left")
-        .select("id", "open", "spans", "more")
+        .select("id", "open", "spans", "places")
         .mapInArrow(finish, final)
     )
     done = seen.where("open is null").select("id", *results)

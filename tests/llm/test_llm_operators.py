@@ -705,3 +705,29 @@ def test_hot_nodes_are_split(spark, no_broadcast):
 def test_every_query_runs(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     assert df.count() > 0
+
+
+def test_unknown_words_of_a_text_are_encoded_together():
+    from shelfmark.llm.tokens import Encoder
+
+    texts = [
+        "start qxz zxq. plain, plain zxq. qxzw\n<|endoftext|> a<|endoftext|>b é. 漢　x -- 's",
+        "one two three", "  x  y ", "a.. b.,", "",
+    ]
+    for special in (True, False):
+        found = Encoder(public_tokenizers.path("byte_bpe_50k.json"), special, 3)
+        real, calls = found._tokenizer, []
+
+        class Counted:
+            def __getattr__(self, name):
+                calls.append(name)
+                return getattr(real, name)
+
+        expected = [real.encode(t, add_special_tokens=False).ids for t in texts]
+        found._tokenizer = Counted()
+        assert [np.frombuffer(found.text(t), "<u4").tolist() for t in texts] == expected
+        # the first word, the words with blanks, and all others at once
+        assert len(calls) <= 3 * len(texts)
+        calls.clear()
+        found.text(" ".join(f"word{k}" for k in range(50)))
+        assert calls == ["encode_batch_fast", "encode"]

@@ -165,3 +165,27 @@ def test_sample_is_bounded(spark):
     lines, _ = secrets.sampled(df, "doc_id", "text", 10)
     assert len(lines) == 10 * secrets.SAMPLE_LINES
     assert max(len(text) for text, _ in lines) <= 12 * secrets.SAMPLE_TOKENS
+
+
+def test_lines_without_an_odd_token_are_tagged():
+    one = secrets.Tagger()
+    one.field.scores = {"word-1:pwd": (-9.0, 9.0, -9.0)}
+    text = "say pwd hunter and more\n\n  pwd\tx\nno line of it"
+    assert [text[a:b] for a, b in secrets.tagged(text, one)] == ["hunter", "x"]
+
+
+def test_screen_leaves_out_no_line(tagger, corpus):
+    class Every:
+        def doubtful(self, text):
+            return secrets.all_lines(text)
+
+    words = ["a", "Beta,", "gamma\t", "", "　qxzvkj", "\xe9cole_", "x. "]
+    texts = [t for t, _ in secrets.made(words, SECRETS | HARMLESS, 30, seed=9)] + MORE
+    texts += [r.text or "" for r in corpus.limit(60).collect()]
+    tagger._screen = None
+    fast = [secrets.tagged(t, tagger) for t in texts]
+    assert sum(b - a for t in texts for a, b in tagger.screen().doubtful(t)) < 0.5 * sum(map(len, texts))
+    tagger._screen = Every()
+    whole = [secrets.tagged(t, tagger) for t in texts]
+    tagger._screen = None
+    assert fast == whole and any(whole)

@@ -32,7 +32,8 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -327,7 +328,7 @@ def sampled(docs: DataFrame, id: str, text: str, sample_docs: int) -> tuple[Samp
                     cut.append(own[low:high])
                 plain = (p for p in all_lines(own) if not ODD.search(own, *p))
                 for _, (start, stop) in zip(range(SAMPLE_PLAIN), plain):
-                    cut.append(own[start : min(stop, start + 12 * SAMPLE_TOKENS)])
+                    cut.append(own[start : min(stop, start + 2 * SAMPLE_TOKENS)])
                 lines.append(cut)
                 found = (m.group() for m in re.finditer(r"(?<!\S)[^\W\d_]{1,24}(?!\S)", own))
                 words.append([w for _, w in zip(range(SAMPLE_WORDS), found)])
@@ -365,8 +366,8 @@ def fitted(sample: Sample, words: list[str]) -> Tagger:
     for text, values in sample:
         whole = file_features(text)
         for start, stop in all_lines(text):
-            tokens = list(line_features(text, start, stop, tagger, whole))[:SAMPLE_TOKENS]
-            sequences.append([f for _, _, f in tokens])
+            tokens = list(islice(line_features(text, start, stop, tagger, whole), SAMPLE_TOKENS))
+            sequences.append([list(map(intern, fs)) for _, _, fs in tokens])
             labels.append(labels_of([(a, b) for a, b, _ in tokens], values))
     seen = Counter(f for s in sequences for fs in s for f in fs)
     sequences = [[[f for f in fs if seen[f] >= LEAST_SEEN] for fs in s] for s in sequences]

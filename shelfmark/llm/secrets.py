@@ -690,8 +690,12 @@ def secret_scan(docs: DataFrame, tagger: Tagger, text: str = "text", mark: str =
     docs = docs.select([c for c in docs.columns if c.lower() not in SCAN.names])
     kept = docs.columns
     where = kept.index(text)
+    # a worker has one tagger for all its tasks, with what it keeps of tokens and
+    # runs, and lets go of it with the scan
+    held = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = held.value
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows, texts = [], []
             for value in batch.column(where):

@@ -189,3 +189,22 @@ def test_screen_leaves_out_no_line(tagger, corpus):
     whole = [secrets.tagged(t, tagger) for t in texts]
     tagger._screen = None
     assert fast == whole and any(whole)
+
+
+class Counted(secrets.Tagger):
+    """A tagger that writes a mark whenever it is loaded."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = str(path)
+
+    def __reduce__(self):
+        made = "__import__('shelfmark.llm.secrets', fromlist=['Tagger']).Tagger()"
+        return eval, (f"(open({self.path!r}, 'a').write('x'), {made})[1]",)
+
+
+def test_a_worker_loads_the_tagger_once(spark, tmp_path):
+    docs = spark.range(0, 128, 1, 64).selectExpr("id as doc_id", "concat('line ', id) as text")
+    scanned = secrets.secret_scan(docs, Counted(tmp_path / "loads"))
+    assert scanned.rdd.getNumPartitions() == 64 and len(scanned.collect()) == 128
+    assert 0 < len((tmp_path / "loads").read_text()) < 64  # not once a task

@@ -33,6 +33,7 @@ from shelfmark.llm.staging import staged
 WORDS = 13
 SHARE = 20  # contaminated from one word in so many
 SLOTS = 1 << 22
+ROWS = 500  # documents whose places are held at once
 
 # a-z, 0-9 and all bytes beyond ASCII are of words; A-Z are lower-cased
 _WORD_BYTES = bytes(
@@ -141,7 +142,7 @@ def candidates(docs: DataFrame, text: str, flags, size: int) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag, crc, mask = flags.value, zlib.crc32, SLOTS - 1
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             numbers, found = [], []
             for value in batch.column(len(kept)):
                 words = words_of(value.as_py())

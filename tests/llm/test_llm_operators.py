@@ -7,11 +7,14 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from shelfmark.llm import (
@@ -731,3 +734,24 @@ def test_unknown_words_of_a_text_are_encoded_together():
         calls.clear()
         found.text(" ".join(f"word{k}" for k in range(50)))
         assert calls == ["encode_batch_fast", "encode"]
+
+
+def test_places_of_few_documents_are_held_at_once():
+    class Docs:
+        columns = ["uid", "text"]
+        schema = T.StructType().add("uid", "long").add("text", "string")
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    n = 2 * decontaminate.ROWS + 7
+    flags = SimpleNamespace(value=bytes([1]) * decontaminate.SLOTS)
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(n)), "text": [f"a b w{k}" for k in range(n)]})
+    got = list(decontaminate.candidates(Docs(), "text", flags, 2)([batch]))
+    assert max(b.num_rows for b in got) <= decontaminate.ROWS
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["uid"] for r in rows] == list(range(n)) and {r["n_words"] for r in rows} == {3}
+    assert [[p["around"] for p in r["places"]] for r in rows] == [["a b", f"a b w{k}", f"b w{k}"] for k in range(n)]
